@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import url_rules
+from . import simhash, url_rules
 
 #: Fixed rules of the URL query.
 URL_RULES = [
@@ -43,8 +43,17 @@ SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.action, 'allow') AS verdict
 FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.rn = 1
 """
 
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, shingle=3, distance=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
+    "op9_simhash": op9_simhash,
 }
 
 SQL: dict[str, str] = {
