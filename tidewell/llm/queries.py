@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, simhash, token_codec, url_rules
+from . import byte_bpe, decontaminate, simhash, token_codec, url_rules
 
 #: Fixed rules of the URL query.
 URL_RULES = [
@@ -30,6 +30,33 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.digests().select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontaminate.contamination(docs, items, width=10).drop("d", "th")
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+b AS (
+  SELECT item_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+bl AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+bg AS (SELECT DISTINCT item_id, k, array_to_string(w[i + 1 : i + k], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM bl)),
+dg AS (SELECT r, k, i, array_to_string(w[i + 1 : i + k], ' ') AS g
+       FROM (SELECT r, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM d JOIN (SELECT DISTINCT k FROM bg) ON len(w) >= k)),
+m AS (SELECT r, i, dg.k, item_id FROM dg JOIN bg ON dg.k = bg.k AND dg.g = bg.g),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM m) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN t ON d.r = t.r
+"""
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -67,11 +94,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
     "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 SQL: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL,
     "op3_url_filter": OP3_SQL,
 }
