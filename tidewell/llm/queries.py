@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality_rules, simhash, token_codec, url_rules
+from . import byte_bpe, decontaminate, license_scan, quality_rules, simhash, token_codec, url_rules
 
 #: Fixed rules of the URL query.
 URL_RULES = [
@@ -79,6 +79,11 @@ FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.rn = 1
 
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan_licenses(docs).drop("spans")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
+    "op5_license_scan": op5_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
