@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, license_scan, quality_rules, simhash, token_codec, url_rules
+from . import byte_bpe, decontaminate, license_scan, ordinal, quality_rules, simhash, token_codec, url_rules
 
 #: Fixed rules of the URL query.
 URL_RULES = [
@@ -91,6 +91,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, good, base=base).select("doc_id", *quality_rules.STATS, "base_failed", "kept")
 
 
+#: A document stays if its chance of the highest grade reaches this.
+KEEP_TAIL = 0.6
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.fit_grades(docs, ordinal.quality_grades(table(spark, sf_dir, "labels")), n_grades=3)
+    scored = ordinal.score_grades(docs, model, tail=2)
+    return scored.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= KEEP_TAIL).alias("kept"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs, shingle=3, distance=2)
@@ -110,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op5_license_scan": op5_license_scan,
     "op7_quality_rules": op7_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
