@@ -15,31 +15,44 @@ import pyarrow.compute as pc
 
 from .shared import ragged
 
-#: Parts that a worker's cache holds before it is emptied.
+#: Parts that each of a worker's two cache generations holds.
 CACHE_PARTS = 400_000
 #: Longer parts are encoded each time they occur.
 CACHE_PART_CHARS = 64
 
 
 class PartCache:
-    """Ids of parts as little-endian uint32 bytes; ``encode`` gets the parts it lacks."""
+    """Ids of parts as little-endian uint32 bytes; ``encode`` gets the parts it lacks.
+
+    Two generations bound the memory: when the young one is full it becomes
+    the old one, and what is still in use moves back.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE_PARTS) -> None:
-        self.encode, self.limit, self.known = encode, limit, {}
+        self.encode, self.limit, self.young, self.old = encode, limit, {}, {}
 
     def ids(self, parts: list[str]) -> list[bytes]:
-        found = list(map(self.known.get, parts))
-        lacking = [n for n, v in enumerate(found) if v is None]
+        found = list(map(self.young.get, parts))
+        lacking = []
+        for n, v in enumerate(found):
+            if v is None:
+                v = found[n] = self.old.get(parts[n])
+                if v is None:
+                    lacking.append(n)
+                else:
+                    self._keep(parts[n], v)
         if lacking:
-            new = self.encode([parts[n] for n in lacking])
-            if len(self.known) + len(new) > self.limit:
-                self.known.clear()
-            for n, v in zip(lacking, new):
+            for n, v in zip(lacking, self.encode([parts[n] for n in lacking])):
                 found[n] = v
-                if len(self.known) < self.limit and len(parts[n]) <= CACHE_PART_CHARS:
-                    self.known[parts[n]] = v
+                if len(parts[n]) <= CACHE_PART_CHARS:
+                    self._keep(parts[n], v)
         return found
 
+    def _keep(self, part: str, ids: bytes) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[part] = ids
+
 
 def encode_texts(texts: pa.Array, cache: PartCache, leading_space: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and each text's bounds in them.
