@@ -253,10 +253,24 @@ class WordTokenizer:
         names = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
         self.mapped = {c: "".join(names[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
         self.marks = {m: self._full([m])[0] for m in ",."} | {"": b""}
+        self.words = PartCache(self._words, limit=200_000)
 
     def _full(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.full.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of byte-mapped words, many at a time."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 256):
+            group = words[at : at + 256]
+            ids = np.array(self.bare.encode(" ".join(group), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(group):
+                out += [np.array(self.bare.encode(w, add_special_tokens=False).ids, np.uint32).tobytes() for w in group]
+            else:
+                out += [raw.tobytes() for raw in np.split(ids, stops[:-1])]
+        return out
+
     def encode(self, parts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(parts)
         words: dict[str, list[tuple[int, str]]] = {}
@@ -266,19 +280,9 @@ class WordTokenizer:
                 words.setdefault(m[1].lower().translate(self.mapped), []).append((n, m[2]))
             else:
                 rest.append(n)
-        names = list(words)
-        for at in range(0, len(names), 256):
-            group = names[at : at + 256]
-            ids = np.array(self.bare.encode(" ".join(group), add_special_tokens=False).ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(group):
-                rest += [n for name in group for n, _ in words[name]]
-                continue
-            start = 0
-            for name, stop in zip(group, stops.tolist()):
-                raw, start = ids[start:stop].tobytes(), stop
-                for n, mark in words[name]:
-                    out[n] = raw + self.marks[mark]
+        for name, raw in zip(words, self.words.ids(list(words))):
+            for n, mark in words[name]:
+                out[n] = raw + self.marks[mark]
         for n, raw in zip(rest, self._full([parts[n] for n in rest])):
             out[n] = raw
         return out
@@ -295,8 +299,13 @@ def _tokenizer(spec: bytes) -> PartCache:
     return _tokenizers[key][1]
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, ids binary of unsigned 32-bit integers, n_tokens long), ``end_id`` last in each."""
+def id_type(vocabulary: int) -> str:
+    """The narrowest unsigned little-endian type that holds the ids."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str = "<u4", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id long, ids binary of integers of ``kind``, n_tokens long), ``end_id`` last in each."""
     with open(tokenizer_path, "rb") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -304,10 +313,13 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
         cache = _tokenizer(spec.value)
         for batch in batches:
             for part in steps(batch, "t"):
-                ids, bounds = encode_texts(pc.replace_substring(part.column("t"), "\n", " "), cache, leading_space=False)
-                ended = np.insert(ids, bounds[1:], np.uint32(end_id)).astype("<u4")
+                # White space is dropped and pure ASCII lower-cased in any case: done first, fewer parts differ.
+                texts = pc.replace_substring(part.column("t"), "\n", " ")
+                texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+                ids, bounds = encode_texts(texts, cache, leading_space=False)
+                ended = np.insert(ids.astype(kind), bounds[1:], end_id)
                 bounds = bounds + np.arange(len(bounds))
-                raw = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(ended)])
+                raw = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((ended.itemsize * bounds).astype(np.int32)), pa.py_buffer(ended)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), raw, pa.array(np.diff(bounds))], ["doc_id", "ids", "n_tokens"])
 
     rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("t"))
@@ -381,14 +393,14 @@ class TokenFiles:
         return self._read("doc_id long, start long, token_ids binary", rows)
 
 
-def _counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
+def _counts(tokens: DataFrame, vocabulary: int, kind: str) -> np.ndarray:
     """How often each id occurs; what reaches the driver is bounded by the vocabulary."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), "<u4"), minlength=vocabulary)
+                total += np.bincount(np.frombuffer(raw.as_buffer(), kind), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -409,9 +421,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, out_uri
     and moves them into place at the end.
     """
     spark: SparkSession = docs.sparkSession
-    tokens = staged(tokenized(docs, tokenizer_path, end_id, id_col, text_col), "tokens")
     size = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1)
-    counts = _counts(tokens, size)
+    kind = id_type(size)
+    tokens = staged(tokenized(docs, tokenizer_path, end_id, kind, id_col, text_col), "tokens")
+    counts = _counts(tokens, size, kind)
     table = FrequencyTable.from_counts(counts)
     shared = spark.sparkContext.broadcast((table.freqs.astype(np.int64), table.bits))
     folder = (out_uri or scratch_path(spark, "token-files")).rstrip("/")
@@ -426,7 +439,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, out_uri
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 writer = writer or FileWriter(path, known)
-                ids = np.frombuffer(raw.as_buffer(), "<u4")
+                ids = np.frombuffer(raw.as_buffer(), kind).astype(np.uint32)
                 writer.add(doc_id, ids)
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(ids)
                 if n_tokens >= UNIT_TOKENS:
