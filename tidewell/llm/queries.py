@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, license_scan, ordinal, quality_rules, simhash, token_codec, url_rules
+from . import byte_bpe, decontaminate, license_scan, ordinal, quality_rules, simhash, token_codec, url_rules, warc
 
 #: Fixed rules of the URL query.
 URL_RULES = [
@@ -79,6 +79,53 @@ FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.rn = 1
 
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
+    return found.select("record_id", "canonical_url", "ts", "kind", "base_id", "outcome", headers.alias("headers"))
+
+
+OP4_SQL = r"""
+WITH u AS (
+  SELECT page_id, url, html, substr(md5(coalesce(url, '')), 1, 1) AS digit, '"' || md5(coalesce(html, '')) || '"' AS tag,
+         regexp_replace(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '(?s)#.*$', '') AS rest
+  FROM pages),
+c AS (
+  SELECT *, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', '') AS host,
+         coalesce(nullif(rtrim(regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/{2,}', '/', 'g'), '/'), ''), '/') AS path,
+         list_sort(list_filter(string_split(regexp_extract(rest, '(?s)\?(.*)$', 1), '&'),
+                   lambda x: x <> '' AND NOT regexp_full_match(lower(split_part(x, '=', 1)), 'utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid'))) AS q
+  FROM u),
+k AS (SELECT *, CASE WHEN url IS NULL THEN NULL ELSE host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS cu FROM c),
+r AS (
+  SELECT page_id * 2 AS record_id, cu, page_id AS ts, CASE WHEN digit = '5' THEN 'other' ELSE 'response' END AS kind,
+         MAP {'etag': tag, 'last-modified': 'monday', 'content-length': CAST(length(coalesce(html, '')) AS VARCHAR)} AS h
+  FROM k
+  UNION ALL
+  SELECT page_id * 2 + 1, cu, page_id + 1000, 'revisit',
+         CASE WHEN digit IN ('0', '1') THEN MAP {'etag': 'W/' || tag, 'date': 'later'}
+              WHEN digit = '2' THEN MAP {'last-modified': 'monday', 'expires': 'soon'}
+              WHEN digit = '3' THEN MAP {'etag': '"changed"'}
+              WHEN digit = '4' THEN MAP {'server': 'cache'}
+              ELSE MAP {'etag': tag, 'cache-control': 'max-age=60', 'content-length': '0'} END
+  FROM k),
+b AS (
+  SELECT *, last_value(CASE WHEN kind = 'response' THEN record_id END IGNORE NULLS) OVER w AS bid,
+            last_value(CASE WHEN kind = 'response' THEN h END IGNORE NULLS) OVER w AS bh
+  FROM r WINDOW w AS (PARTITION BY cu ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (
+  SELECT *, CASE WHEN kind <> 'revisit' THEN 'full' WHEN bid IS NULL OR cu IS NULL THEN 'missing'
+                 WHEN h['etag'] IS NOT NULL AND bh['etag'] IS NOT NULL THEN CASE WHEN regexp_replace(h['etag'], '^W/', '') = regexp_replace(bh['etag'], '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+                 WHEN h['last-modified'] IS NOT NULL AND bh['last-modified'] IS NOT NULL THEN CASE WHEN h['last-modified'] = bh['last-modified'] THEN 'resolved' ELSE 'mismatch' END
+                 ELSE 'unvalidated' END AS outcome
+  FROM b)
+SELECT record_id, cu AS canonical_url, ts, kind, CASE WHEN outcome IN ('resolved', 'unvalidated') THEN bid END AS base_id, outcome,
+       array_to_string(list_sort(list_transform(map_entries(CASE WHEN outcome = 'resolved' THEN map_concat(bh, map_from_entries(list_filter(map_entries(h), lambda e: e.key <> 'content-length'))) ELSE h END),
+                       lambda e: e.key || ': ' || e.value)), chr(10)) AS headers
+FROM o
+"""
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan_licenses(docs).drop("spans")
@@ -119,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
+    "op4_warc_revisits": op4_warc_revisits,
     "op5_license_scan": op5_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
@@ -129,4 +177,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op3_url_filter": OP3_SQL,
+    "op4_warc_revisits": OP4_SQL,
 }
