@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, license_scan, ordinal, quality_rules, simhash, token_codec, url_rules, warc
+from . import byte_bpe, decontaminate, license_scan, line_dedup, ordinal, quality_rules, simhash, token_codec, url_rules, warc
 
 #: Fixed rules of the URL query.
 URL_RULES = [
@@ -131,6 +131,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(docs).drop("spans")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slim = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return slim.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -168,6 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_warc_revisits": op4_warc_revisits,
     "op5_license_scan": op5_license_scan,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash,
