@@ -170,5 +170,6 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no window of any item, all columns as they are."""
     found = contamination(docs, items, width, id_col, item_col, text_col).where("contaminated").select(F.col("d").alias("__d"), F.col("th").alias("__th"))
+    found = staged(found.distinct(), "contaminated")
     own = [F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit(0)) == F.col("__d"), F.xxhash64(docs[f"`{id_col}`"].isNull(), docs[f"`{text_col}`"]) == F.col("__th")]
-    return docs.join(found, own[0] & own[1], "left_anti")
+    return docs.join(_small(found, found.count()), own[0] & own[1], "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +15,16 @@ from pyspark.sql import functions as F
 #: Text bytes that one step of an Arrow function holds at once.
 STEP_BYTES = 8 << 20
 
-_scratch: list[str] = []
+#: Folders written so far, each with the owner it was written for.
+_scratch: list[tuple[str | None, str]] = []
+_owner: str | None = None
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder name below the shared folder that the session names.
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session may
-    leave it unset (tests); it then gets a folder of its own.
+    Only a local session may leave it unset (tests); it then gets a folder of
+    its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -29,11 +32,31 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    return base.rstrip("/")
+
+
+def fresh_name() -> str:
+    return uuid.uuid4().hex
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared folder."""
+    path = f"{scratch_root(spark)}/{label}-{fresh_name()}"
+    _scratch.append((_owner, path))
     return path
 
 
+@contextmanager
+def scratch_owner(name: str) -> Iterator[None]:
+    """Scratch data written meanwhile is for ``name``, which may release it."""
+    global _owner
+    before, _owner = _owner, name
+    try:
+        yield
+    finally:
+        _owner = before
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     and a lost executor costs no recomputation of what stands before."""
@@ -42,12 +65,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete what ``staged`` has written; results built on it must be stored by now."""
+def release_scratch(spark: SparkSession, owner: str) -> None:
+    """Delete what ``staged`` has written for ``owner``; results built on it must be stored by now."""
     conf = spark._jsc.hadoopConfiguration()
-    while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    for entry in [e for e in _scratch if e[0] == owner]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
         path.getFileSystem(conf).delete(path, True)
+        _scratch.remove(entry)
 
 
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

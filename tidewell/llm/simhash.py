@@ -24,6 +24,8 @@ from .shared import connected_components, staged, steps
 
 #: Up to this size a posting list is compared pair by pair; larger ones look up their neighbours.
 SMALL_LIST = 8
+#: Up to so many ids are broadcast; more are joined.
+BROADCAST_IDS = 500_000
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -196,8 +198,22 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows with a null id stay only if no other row has their group; of several
     such rows with one fingerprint, one stays. All columns come through.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, distance)
-    firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(firsts.withColumnRenamed("doc_id", "__keep"), docs[f"`{id_col}`"] == F.col("__keep"), "left_semi")
-    one = Window.partitionBy(f"`{id_col}`").orderBy(F.col(f"`{text_col}`").asc_nulls_last())
-    return named.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    groups = staged(near_duplicates(docs, id_col, text_col, shingle, distance), "near-members")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.where(id_.isNotNull()).join(F.broadcast(gone) if few else gone, id_.cast("long") == F.col("__gone"), "left_anti")
+    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
+    if not twice.isEmpty():
+        own = id_.cast("long") == F.col("__twice")
+        one = Window.partitionBy(id_).orderBy(text.asc_nulls_last())
+        first = kept.join(twice, own, "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+        kept = kept.join(twice, own, "left_anti").unionAll(first)
+    alone = groups.where("doc_id is null and component_id is null").select(F.col("fp").alias("__fp")).distinct()
+    if not alone.isEmpty():
+        nameless = docs.where(id_.isNull()).withColumn("__th", F.xxhash64(text))
+        prints = fingerprints(nameless.select("__th", text.alias("__text")), "__th", "__text", shingle)
+        firsts = prints.join(alone, F.col("fp") == F.col("__fp")).groupBy("fp").agg(F.min("doc_id").alias("__first"))
+        one = Window.partitionBy("__th").orderBy(text.asc_nulls_last())
+        kept = kept.unionAll(nameless.join(firsts, F.col("__th") == F.col("__first"), "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n", "__th"))
+    return kept
