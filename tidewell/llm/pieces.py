@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from .shared import ragged
 
 #: Parts that each of a worker's two cache generations holds.
-CACHE_PARTS = 150_000
+CACHE_PARTS = 300_000
 #: Longer parts are encoded each time they occur.
 CACHE_PART_CHARS = 64
 

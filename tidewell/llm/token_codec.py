@@ -253,7 +253,6 @@ class WordTokenizer:
         names = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
         self.mapped = {c: "".join(names[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
         self.marks = {m: self._full([m])[0] for m in ",."} | {"": b""}
-        self.words = PartCache(self._words, limit=200_000)
 
     def _full(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.full.encode_batch_fast(parts, add_special_tokens=False)]
@@ -264,30 +263,52 @@ class WordTokenizer:
         for at in range(0, len(words), 256):
             group = words[at : at + 256]
             ids = np.array(self.bare.encode(" ".join(group), add_special_tokens=False).ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(stops) != len(group):
                 out += [np.array(self.bare.encode(w, add_special_tokens=False).ids, np.uint32).tobytes() for w in group]
             else:
-                out += [raw.tobytes() for raw in np.split(ids, stops[:-1])]
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *stops], stops)]
         return out
 
     def encode(self, parts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(parts)
-        words: dict[str, list[tuple[int, str]]] = {}
-        rest = []
+        out: list[bytes] = [b""] * len(parts)
+        names, places, marks, rest = [], [], [], []
         for n, part in enumerate(parts):
-            if (m := _WORD.fullmatch(part)) and len(part) < 100:
-                words.setdefault(m[1].lower().translate(self.mapped), []).append((n, m[2]))
+            if part.isascii() and part.isalpha() and len(part) < 100:
+                names.append(part.lower())
+                marks.append("")
+            elif (m := _WORD.fullmatch(part)) and len(part) < 100:
+                names.append(m[1].lower().translate(self.mapped))
+                marks.append(m[2])
             else:
                 rest.append(n)
-        for name, raw in zip(words, self.words.ids(list(words))):
-            for n, mark in words[name]:
-                out[n] = raw + self.marks[mark]
+                continue
+            places.append(n)
+        for n, mark, raw in zip(places, marks, self._words(names)):
+            out[n] = raw + self.marks[mark] if mark else raw
         for n, raw in zip(rest, self._full([parts[n] for n in rest])):
             out[n] = raw
         return out
 
 
+#: A comma or full stop that may belong to a longer run of signs.
+_SIGN_RUN = "[^0-9A-Za-zÀ-ÖØ-öø-ÿ ][,.] |^[,.] "
+
+
+def simplified(texts: pa.Array) -> pa.Array:
+    """Texts with the same ids but fewer distinct parts between spaces.
+
+    White space only parts words and pure ASCII is lower-cased in any case.
+    A comma or full stop between a letter and a space is a run of signs of its
+    own, so a space before it changes nothing.
+    """
+    texts = pc.replace_substring(texts, "\n", " ")
+    texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+    apart = pc.replace_substring(pc.replace_substring(texts, ", ", " , "), ". ", " . ")
+    return pc.if_else(pc.match_substring_regex(texts, _SIGN_RUN), texts, apart)
+
+
 _tokenizers: dict[tuple[int, int], tuple[WordTokenizer, PartCache]] = {}
 
 
@@ -313,10 +334,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str = "<u
         cache = _tokenizer(spec.value)
         for batch in batches:
             for part in steps(batch, "t"):
-                # White space is dropped and pure ASCII lower-cased in any case: done first, fewer parts differ.
-                texts = pc.replace_substring(part.column("t"), "\n", " ")
-                texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
-                ids, bounds = encode_texts(texts, cache, leading_space=False)
+                ids, bounds = encode_texts(simplified(part.column("t")), cache, leading_space=False)
                 ended = np.insert(ids.astype(kind), bounds[1:], end_id)
                 bounds = bounds + np.arange(len(bounds))
                 raw = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((ended.itemsize * bounds).astype(np.int32)), pa.py_buffer(ended)])
