@@ -29,7 +29,9 @@ COMMIT = "_commit"
 BLOOM_FROM = 1024
 GC_GRACE = 900
 NS_HOUR = 3_600 * 10**9
-#: Bytes of a settled file that one write task aims at.
+#: Rows from which a batch is laid out by rebalancing.
+REBALANCE_FROM = 5_000_000
+#: Files of an hour from which it is compacted.
 MIN_FILES = 4
 
 
@@ -159,16 +161,20 @@ class Database:
     def _store(self, rows: DataFrame, table: TableDef, number: int, level: int, sort: Iterable[str]) -> list[FileMeta]:
         """Files of rows, split by hour, in key order; what the log needs to know of them."""
         folder = f"{self.root}/data/{table.name}/{number:012d}-{level}-{time.time_ns()}"
-        hours = rows.withColumn("hour", hour_partition(TIME))
-        laid = hours.repartition("hour", F.pmod(F.xxhash64(*(F.col(f"`{t}`") for t in table.tags)) if table.tags else F.lit(0), F.lit(8))) if level else hours.repartition("hour")
-        laid = laid.sortWithinPartitions("hour", *(F.col(f"`{c}`") for c in ([TIME, *sort] if not level else [*sort])))
-        writer = laid.write.partitionBy("hour").option("compression", "snappy")
-        if table.tags:
-            counts = rows.agg(*(F.approx_count_distinct(f"`{t}`").alias(f"n{n}") for n, t in enumerate(table.tags))).first()
-            for n, t in enumerate(table.tags):
+        hours = rows.withColumn("hour", hour_partition(TIME)).persist()
+        try:
+            counts = hours.agg(F.count("*"), *(F.approx_count_distinct(f"`{t}`") for t in table.tags)).first()
+            # A large batch is rebalanced, so that AQE splits a busy hour; in a small one tasks share the hours.
+            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            laid = hours.hint("rebalance", "hour") if counts[0] >= REBALANCE_FROM else hours.repartition(tasks, "hour")
+            laid = laid.sortWithinPartitions("hour", *(F.col(f"`{c}`") for c in ([TIME, *sort] if not level else [*sort])))
+            writer = laid.write.partitionBy("hour").option("compression", "snappy")
+            for n, t in enumerate(table.tags, 1):
                 if counts[n] >= BLOOM_FROM:
                     writer = writer.option(f"parquet.bloom.filter.enabled#{t}", "true").option(f"parquet.bloom.filter.expected.ndv#{t}", str(counts[n]))
-        writer.parquet(folder)
+            writer.parquet(folder)
+        finally:
+            hours.unpersist()
         fs = self.log.fs
         if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(folder)):
             return []
