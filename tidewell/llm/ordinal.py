@@ -111,14 +111,17 @@ class OrdinalModel:
 
         Only features that some cut between grades shifts by ``SCREEN`` standard
         errors get a weight; thousands of words by chance would else blur the
-        scores of long texts. Without rows, or with a single grade among them,
-        thresholds follow the grades' shares alone.
+        scores of long texts. With a single grade among the rows, thresholds
+        follow the grades' shares alone; without rows nothing speaks against any
+        text, and the highest grade is all but certain.
         """
         n = len(grades)
         share = np.array([(np.sum(grades < k) + 0.5) / (n + 1.0) for k in range(1, n_grades)])
         theta = np.log(share / (1 - share))
         weights = np.zeros(1 << BITS)
-        if not n or len(np.unique(grades)) < 2:
+        if not n:
+            return cls(weights, np.arange(len(theta)) - 20.0)
+        if len(np.unique(grades)) < 2:
             return cls(weights, np.maximum.accumulate(theta + 1e-6 * np.arange(len(theta))))
         sizes = np.array([len(r) for r in rows])
         cols = np.concatenate(rows)

@@ -46,6 +46,8 @@ def _repeat_words(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return np.zeros(len(bounds) - 1, np.int64)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     start = np.flatnonzero(owner[:n] == owner[WINDOW - 1 :])
+    if not len(start):
+        return np.zeros(len(bounds) - 1, np.int64)
     mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     key = owner.astype(np.uint64)[start] * np.uint64(0xD6E8FEB86659FD93)
