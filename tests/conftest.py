@@ -1,6 +1,13 @@
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+for folder in (Path(__file__).parent, Path(__file__).parent.parent):
+    if str(folder) not in sys.path:
+        sys.path.insert(0, str(folder))
+
 
 @pytest.fixture(scope="session")
 def spark():
