@@ -3,7 +3,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.database import Database, Refused
+from tidewell.database import Database, Refused, list_databases
 from tidewell.model import SchemaError
 from tidewell.operators import Rollup, RollupAgg
 from tidewell.operators.rollup import FUNCTIONS
@@ -175,6 +175,19 @@ def test_sql(db, spark):
     assert e.value.outcome == "timeout"
 
 
+def test_listings_and_telemetry(db, spark, tmp_path):
+    db.write_lp("ev,step=a v=1 1")
+    run = Runner(spark, {"poc": db}.get)
+    assert [r.table_name for r in run.run("SHOW TABLES").collect()] == ["ev"]
+    assert [tuple(r) for r in run.run("DESCRIBE poc.public.ev").collect()] == [("time", "bigint"), ("step", "string"), ("v", "double")]
+    system = Database(spark, f"file://{tmp_path}", "_system")
+    assert run.record(system, "n1") == 2 and run.record(system) == 0
+    assert rows(system.read("queries"), "node", "db", "outcome", "identity") == [("n1", "poc", "ok", None)] * 2
+    assert system.write_exposition('up{job="a"} 1\nload{job="a"} 2\nplain 3', "n1", 5) == 2
+    assert rows(system.read("metrics"), "node", "job", "up", "load", "plain") == [("n1", "a", 1.0, 2.0, None), ("n1", None, None, None, 3.0)]
+    assert [r.database for r in list_databases(spark, f"file://{tmp_path}").collect()] == ["_system", "poc"]
+
+
 def test_authorization_and_settings():
     assert narrow({"a", "b"}, {"b", "c"}, None) == {"b"}
     assert authorize("off", None, None, "write", "d") and authorize("optional", None, None, "read", "d") and not authorize("required", None, None, "read", "d")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import time
 from collections.abc import Iterable
 from dataclasses import asdict
@@ -16,12 +15,13 @@ from .model import SEQ, TIME, UINT, VISIBILITY, SchemaError, TableDef, declare
 from .operators.dedup import last_write_wins
 from .operators.lastvalue import last_values
 from .operators.rollup import Rollup, RollupAgg, rollup_frame, sealed_range
+from .operators.telemetry import parse_exposition
 from .operators.tombstone import Tombstone, hide_deleted
 from .operators.visibility import apply_visibility
 from .sources import catalog
 from .sources.catalog import FileMeta, Log, State
 from .sources.frames import prepare_frame
-from .sources.lineproto import Point, columns_of, read_bodies
+from .sources.lineproto import Point, columns_of, read_bodies, to_line
 from .sources.remote_write import decode_write_request, points_of, snappy_decompress
 
 COMMIT = "_commit"
@@ -118,6 +118,11 @@ class Database:
         maps = {n: F.create_map().cast(f"map<string,{t}>") for n, t in (("ints", "bigint"), ("uints", "decimal(20,0)"), ("bools", "boolean"))}
         return self._write_points(points.withColumn("floats", F.create_map(F.lit("value"), "value")).withColumns(maps).withColumn("strings", empty))
 
+    def write_exposition(self, text: str, node: str, now_ns: int) -> int:
+        """Metrics in exposition text as rows of the table ``metrics``: a row for each label set, a float field for each metric."""
+        lines = [to_line(Point("metrics", {"node": node, **{k: v for k, v in labels.items() if k != TIME}}, values, now_ns)) for labels, values in parse_exposition(text)]
+        return self.write_lp("\n".join(filter(None, lines)))
+
     def _write_points(self, points: DataFrame) -> int:
         """Check every table of a batch, then commit them; nothing is written if one conflicts."""
         kinds = {"floats": DoubleType(), "ints": LongType(), "uints": UINT, "bools": BooleanType(), "strings": StringType()}
@@ -357,8 +362,12 @@ class Database:
         return self.ingest_dataframe(rows, r.into, {c: "tag" if c not in aggs else "field" for c in rows.columns if c != TIME})
 
 
-def gunzip(body: bytes) -> bytes:
-    return gzip.decompress(body) if body[:2] == b"\x1f\x8b" else body
+def list_databases(spark: SparkSession, root: str) -> DataFrame:
+    """(database): the namespaces below ``root``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(path) if fs.exists(path) else []
+    return spark.createDataFrame([(s.getPath().getName(),) for s in sorted(found, key=lambda s: s.getPath().getName()) if s.isDirectory()], "database string")
 
 
-__all__ = ["Database", "Refused", "SchemaError", "Point"]
+__all__ = ["Database", "Refused", "SchemaError", "list_databases"]

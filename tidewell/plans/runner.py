@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import time
 import uuid
@@ -108,6 +109,16 @@ class Runner:
                     self._running[who] -= 1
                 self.history.append({"time": time.time_ns(), "db": db, "identity": who, "outcome": outcome, "duration_ms": (time.monotonic() - began) * 1000, "wait_ms": waited * 1000, "rows": rows, "ref": ref})
 
+    def record(self, system, node: str = "local") -> int:
+        """Move the accounts into the table ``queries`` of the database ``system``; anonymous ones have no identity."""
+        with self._lock:
+            done, self.history = self.history, []
+        if not done:
+            return 0
+        schema = "time long, node string, db string, outcome string, identity string, duration_ms double, wait_ms double, rows long, ref string"
+        frame = self.spark.createDataFrame([(h["time"], node, h["db"], h["outcome"], h["identity"], h["duration_ms"], h["wait_ms"], h["rows"], h["ref"]) for h in done], schema)
+        return system.ingest_dataframe(frame, "queries", {"ref": "field"})
+
     def _enter(self, who: str | None) -> None:
         with self._lock:
             if who is not None and self.per_client and self._running[who] >= self.per_client:
@@ -123,6 +134,7 @@ class Runner:
         for key, value in (("spark.sql.runSQLOnFiles", "false"), ("spark.sql.ansi.doubleQuotedIdentifiers", "true"), ("spark.sql.session.timeZone", "UTC")):
             own.conf.set(key, value)
         register_sql_functions(own)
+        sql = _listing(sql)
         relations = check_read_only(own, sql)
         views: dict[tuple, str] = {}
 
@@ -175,6 +187,19 @@ class Runner:
         return with_timestamp(home.read(name, session.auths))
 
 
+_SHOW = re.compile(r"\s*SHOW\s+TABLES\s*;?\s*", re.I)
+_DESCRIBE = re.compile(r'\s*DESC(?:RIBE)?\s+(?:TABLE\s+)?(?:\w+\.)*"?([\w.-]+?)"?\s*;?\s*', re.I)
+
+
+def _listing(sql: str) -> str:
+    """SHOW TABLES and DESCRIBE as queries over the database's own tables, not over Spark's catalog."""
+    if _SHOW.fullmatch(sql):
+        return "SELECT * FROM information_schema.tables"
+    if m := _DESCRIBE.fullmatch(sql):
+        return f"SELECT column_name, data_type FROM information_schema.columns WHERE table_name = '{m[1]}' ORDER BY ordinal_position"
+    return sql
+
+
 def _columns(home) -> DataFrame:
     rows = [(home.name, "public", t, f.name, n, f.dataType.simpleString()) for t, d in sorted(home.state().tables.items()) for n, f in enumerate(d.schema, 1)]
     return home.spark.createDataFrame(rows, "table_catalog string, table_schema string, table_name string, column_name string, ordinal_position int, data_type string")
