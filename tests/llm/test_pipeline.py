@@ -27,7 +27,8 @@ def test_stages_in_order_with_their_effects(spark, tmp_path):
     everyone = {d[0] for d in docs}
     first, lines, near, clean, last = kept.values()
     assert first == lines == everyone  # without labels none is rejected
-    assert near <= lines and {0, 52} <= near and not {50, 3} <= near
+    # Line dedup has emptied the copy 50; of the empty texts 50 and 53 one stays.
+    assert near <= lines and {0, 3, 50, 52} <= near and 53 not in near
     assert clean == near - {52} and last == clean
     with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(f.read()), special_tokens={})
