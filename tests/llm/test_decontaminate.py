@@ -38,6 +38,18 @@ def test_equals_brute_force(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r[0]) for r in rows if not r[4])
 
 
+def test_repeated_rows_and_null_ids_with_a_window(spark):
+    phrase = "one two three four five"
+    docs = [(1, f"x {phrase} y")] * 3 + [(None, f"{phrase} z")] * 2 + [(2, phrase), (2, "other words"), (0, f"{phrase} z"), (3, "clean"), (3, "clean"), (None, None), (None, None)]
+    items = [(7, phrase), (8, "clean and more of it")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    i = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in dc.contamination(d, i, width=4).collect()), key=str)
+    assert got == brute(docs, items, 4) and sum(r[4] for r in got) == 7
+    kept = sorted(map(tuple, dc.drop_contaminated(d, i, width=4).collect()), key=str)
+    assert kept == sorted([(2, "other words"), (3, "clean"), (3, "clean"), (None, None), (None, None)], key=str)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")

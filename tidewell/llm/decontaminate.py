@@ -52,7 +52,8 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
 
     Null text has no words. A document is its id and a hash of its text, so
     rows that repeat both share postings, and rows that share an id alone do
-    not. Null ids are documents as well.
+    not. Null ids are documents as well. Each posting is held once, however
+    many rows repeat its document.
     """
     listed = staged(terms.select("term").where("term is not null").distinct().select("term", F.monotonically_increasing_id().alias("tid")), "terms")
     n_terms, longest = listed.agg(F.count("*"), F.max(F.octet_length("term"))).first()
@@ -64,8 +65,14 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     found = rows.join(F.broadcast(listed) if small else listed, "term", "left").where("tid is not null or pos = 0")
     found = found.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("d"), "th", "tid", F.when(F.col("tid").isNull(), F.col("n_words")).otherwise(F.col("pos") - 1).cast("int").alias("pos"))
     stored = staged(found, "postings")
+    postings = stored.where("tid is not null").select("d", "th", "tid", "pos")
+    again = staged(stored.where("tid is null").groupBy("d", "th").count().where("count > 1").select("d", "th"), "repeated")
+    n_again = again.count()
+    if n_again:
+        once = postings.join(_small(again, n_again), ["d", "th"], "left_semi").distinct()
+        postings = staged(postings.join(_small(again, n_again), ["d", "th"], "left_anti").unionByName(once), "distinct-postings")
     return PositionalIndex(
-        stored.where("tid is not null").select("d", "th", "tid", "pos"),
+        postings,
         stored.where("tid is null").select("doc_id", "d", "th", F.col("pos").cast("long").alias("n_words")),
         listed,
         n_terms,
