@@ -11,7 +11,7 @@ tally reaches the guaranteed minimum, and only there it is verified.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -192,14 +192,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 3) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, the one with the smallest id.
+    """``docs`` with one row of each near-duplicate group; which one, see ``keep_one``."""
+    groups = near_duplicates(docs, id_col, text_col, shingle, distance)
+    return keep_one(docs, groups, lambda rows, i, t: fingerprints(rows, i, t, shingle), id_col, text_col)
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, keys: Callable[[DataFrame, str, str], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """One row of each of ``groups`` (doc_id, fp, component_id), the one with the smallest id.
 
     Of rows that repeat that id one is kept, the one whose text comes first.
     Rows with a null id stay only if no other row has their group; of several
     such rows with one fingerprint, one stays. All columns come through.
+    ``keys`` gives (doc_id, fp) for a frame and the names of its id and text.
     """
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    groups = staged(near_duplicates(docs, id_col, text_col, shingle, distance), "near-members")
+    groups = staged(groups, "near-members")
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     few = gone.count() <= BROADCAST_IDS
     kept = docs.where(id_.isNotNull()).join(F.broadcast(gone) if few else gone, id_.cast("long") == F.col("__gone"), "left_anti")
@@ -212,7 +219,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     alone = groups.where("doc_id is null and component_id is null").select(F.col("fp").alias("__fp")).distinct()
     if not alone.isEmpty():
         nameless = docs.where(id_.isNull()).withColumn("__th", F.xxhash64(text))
-        prints = fingerprints(nameless.select("__th", text.alias("__text")), "__th", "__text", shingle)
+        prints = keys(nameless.select("__th", text.alias("__text")), "__th", "__text")
         firsts = prints.join(alone, F.col("fp") == F.col("__fp")).groupBy("fp").agg(F.min("doc_id").alias("__first"))
         one = Window.partitionBy("__th").orderBy(text.asc_nulls_last())
         kept = kept.unionAll(nameless.join(firsts, F.col("__th") == F.col("__first"), "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n", "__th"))
