@@ -119,6 +119,13 @@ shared("json_field", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIG
 shared("time_literal", "SELECT COUNT(*) AS n FROM events WHERE ts < '2024-01-08 20:00:00'")
 shared("time_interval", "SELECT COUNT(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '36' HOUR")
 
+# -- the whole of events, where the queries of these names above take an id range ------
+
+shared("projection_arithmetic_whole", "SELECT event_id, 100 - value AS rest, value * 2 + 1 AS twice FROM events WHERE value IS NOT NULL")
+shared("window_frames_whole", "SELECT event_id, SUM(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS three, FIRST_VALUE(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first_id, NTH_VALUE(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_id FROM events")
+shared("unnest_whole", "SELECT event_id, k FROM events LATERAL VIEW explode(array(user_id, event_id)) x AS k", "SELECT event_id, unnest([user_id, event_id]) AS k FROM events")
+shared("scalar_functions_whole", "SELECT event_id, UPPER(event_type) AS u, LENGTH(event_type) AS n, SUBSTRING(event_type, 1, 3) AS s, ABS(value - 50) AS d, COALESCE(NULLIF(event_type, 'view'), 'none') AS c FROM events")
+
 # -- time buckets ------------------------------------------------------------------
 
 
