@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewell.llm import license_scan, line_dedup, ordinal, quality_rules
@@ -61,7 +62,9 @@ def test_line_dedup_equals_brute_force(spark):
             if z.count(" ") >= 4:
                 occurrences.setdefault(z, (i, n))
     known = list(occurrences)
-    sh = line_dedup.simhashes(known)
+    keys = collections.defaultdict(set)
+    for n, key in zip(*line_dedup.block_keys(pa.array(known))):
+        keys[n].add(int(key))
     parent = list(range(len(known)))
 
     def find(k):
@@ -71,7 +74,7 @@ def test_line_dedup_equals_brute_force(spark):
 
     for a in range(len(known)):
         for b in range(a):
-            if int(np.bitwise_count(sh[a] ^ sh[b])) <= 3 and line_dedup.similar(known[a], known[b], 0.8):
+            if keys[a] & keys[b] and line_dedup.similar(known[a], known[b], 0.8):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     got = {}

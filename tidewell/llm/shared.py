@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -116,6 +116,34 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()), dtype=np.int64)
 
 
+def by_list(lists: DataFrame, walk: Callable[..., tuple], schema: str = "a long, b long") -> DataFrame:
+    """(a, b) that ``walk`` finds in each list: rows of equal first column, which must stand together in a partition.
+
+    ``walk`` gets a list's columns, the first included, as arrays (texts as a list); one list is held at a time.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for at, stop in zip(cuts, cuts[1:]):
+                if stop > at and held and held[-1].column(0)[0].as_py() != key[at]:
+                    yield out(held)
+                    held = []
+                if stop > at:
+                    held.append(batch.slice(at, stop - at))
+        if held:
+            yield out(held)
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        a, b = walk(*(c.to_pylist() if pa.types.is_string(c.type) else c.to_numpy() for c in table.columns))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return lists.mapInArrow(of, schema)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else, in the JVM.
 
