@@ -63,3 +63,15 @@ def test_empty_table_and_null_ids(spark):
     assert byte_bpe.encode_texts_column(docs, PATH, P.PATTERN).count() == 0
     rows = spark.createDataFrame([(None,)], "token_ids binary")
     assert byte_bpe.decode_ids_column(rows, PATH, P.PATTERN).first().decoded is None
+
+
+def test_ordinary_text_goes_through_joins(ranks, library):
+    model = byte_bpe.ByteBpe(ranks, P.PATTERN)
+    text = "Ordinary prose, whose longest word is incomprehensibilities, has no match of any great length."
+    assert model.encode(text) == library.encode_ordinary(text)
+    words = [m.group(0).encode() for m in model.pattern.finditer(text)]
+    rare = [w for w in dict.fromkeys(words) if w not in ranks]
+    assert rare and model.joins >= len(rare)
+    fresh = byte_bpe.ByteBpe(ranks, P.PATTERN)
+    fresh.piece(rare[0])
+    assert fresh.joins + 1 >= len(set(rare[0]))  # halves down to single bytes; equal halves are remembered

@@ -63,8 +63,11 @@ def test_line_dedup_equals_brute_force(spark):
                 occurrences.setdefault(z, (i, n))
     known = list(occurrences)
     keys = collections.defaultdict(set)
-    for n, key in zip(*line_dedup.block_keys(pa.array(known))):
-        keys[n].add(int(key))
+    number, key, sketch = line_dedup.block_keys(pa.array(known))
+    for n, k in zip(number, key):
+        keys[n].add(int(k))
+    bits = lambda a, b: sum((int(x) ^ int(y)).bit_count() for x, y in zip(sketch[a], sketch[b]))
+    short = [x.count(" ") + 1 < line_dedup.BAND_WORDS for x in known]
     parent = list(range(len(known)))
 
     def find(k):
@@ -74,7 +77,7 @@ def test_line_dedup_equals_brute_force(spark):
 
     for a in range(len(known)):
         for b in range(a):
-            if keys[a] & keys[b] and line_dedup.similar(known[a], known[b], 0.8):
+            if keys[a] & keys[b] and (short[a] or short[b] or bits(a, b) <= line_dedup.DISTANCE) and line_dedup.similar(known[a], known[b], 0.8):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     got = {}

@@ -15,64 +15,97 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import PartCache, encode_texts
 from .shared import steps
 
-#: Byte strings up to this length are leaves of the tree.
-LEAF_BYTES = 48
+#: Encodings of byte strings up to this length are remembered, so many for each encoder at most.
+MEMO_BYTES, MEMO = 24, 100_000
 #: A space that follows other white space; cutting there could change how the pattern matches.
 _UNSAFE = regex.compile(r"[\s\x1c-\x1f\x85] ")
 
 
+#: Above all ranks.
+_NEVER = 1 << 62
+
+
 class ByteBpe:
     """Encoder and decoder for a rank file's text and a split pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_bytes: int = LEAF_BYTES) -> None:
-        self.ranks, self.leaf_bytes = ranks, max(2, leaf_bytes)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_bytes: int = 1) -> None:
+        self.ranks, self.leaf_bytes = ranks, max(1, leaf_bytes)
         self.pattern = regex.compile(pattern)
-        self.leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for value, rank in ranks.items():
             self.bytes_of[rank] = value
-        self.fits: dict[tuple[int, int], bool] = {}
+        # The two tokens that merge into each; a single byte is both.
+        self.first_of, self.last_of = list(range(len(self.bytes_of))), list(range(len(self.bytes_of)))
+        for value, rank in ranks.items():
+            if len(value) > 1:
+                parts = self._merge(value, 2)
+                self.first_of[rank], self.last_of[rank] = parts[0], parts[-1]
+        self.nodes: dict[bytes, list[int]] = {}
+        self.windows: dict[bytes, list[int]] = {}
+        self.joins = 0
 
     def stable(self, left: int, right: int) -> bool:
-        """May these tokens stand side by side in an encoding?"""
-        key = (left, right)
-        if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 200_000:
-                self.fits.clear()
-            both = self.bytes_of[left] + self.bytes_of[right]
-            known = self.fits[key] = self._merged(both) == [left, right]
-        return known
+        """May these tokens stand side by side in an encoding?
 
-    def _merged(self, data: bytes) -> list[int]:
-        """Encoding by merges alone, without looking up ``data`` as a whole."""
-        rank = self.ranks.get(data)
-        if rank is None or len(data) == 1:
-            return self.leaf(data)
+        Undo their merges from the last one back: they may not if at some time
+        the two parts at the border would have merged before the next undone
+        merge was made. Each token is its own encoding.
+        """
+        bytes_of, ranks, undone = self.bytes_of, self.ranks, _NEVER
+        while True:
+            if ranks.get(bytes_of[left] + bytes_of[right], _NEVER) < undone:
+                return False
+            a, b = self.last_of[left], self.first_of[right]
+            if left > right and a != left or b == right:
+                if a == left:
+                    return True
+                undone, left = left, a
+            else:
+                undone, right = right + 1, b
+
+    def _merge(self, data: bytes, least: int = 1) -> list[int]:
+        """Merge the lowest rank, leftmost first, while there are more than ``least`` parts; for a few tokens' bytes."""
         parts, ranks = [data[n : n + 1] for n in range(len(data))], self.ranks
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda n: ranks.get(parts[n] + parts[n + 1], 1 << 62))
-            if parts[best] + parts[best + 1] not in ranks:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        pairs = [ranks.get(data[n : n + 2], _NEVER) for n in range(len(data) - 1)]
+        while len(pairs) >= least and (lowest := min(pairs)) != _NEVER:
+            n = pairs.index(lowest)
+            parts[n : n + 2] = [parts[n] + parts[n + 1]]
+            del pairs[n]
+            if n:
+                pairs[n - 1] = ranks.get(parts[n - 1] + parts[n], _NEVER)
+            if n < len(pairs):
+                pairs[n] = ranks.get(parts[n] + parts[n + 1], _NEVER)
         return [ranks[p] for p in parts]
 
+    def _merged(self, data: bytes) -> list[int]:
+        """Encoding of a window by merges alone, without looking up ``data`` as a whole."""
+        known = self.windows.get(data)
+        if known is None:
+            known = self._merge(data)
+            if len(data) <= MEMO_BYTES:
+                if len(self.windows) >= MEMO:
+                    self.windows.clear()
+                self.windows[data] = known
+        return known
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the joined bytes, from the encodings of both sides."""
         if not left or not right:
             return left or right
+        self.joins += 1
         if self.stable(left[-1], right[0]):
             return left + right
         a = b = 1
@@ -85,17 +118,23 @@ class ByteBpe:
             a, b = min(len(left), 2 * a if grow_left else a), min(len(right), 2 * b if grow_right else b)
 
     def tree(self, data: bytes) -> list[int]:
-        """Encode by halves. What a lookup of the whole would give is for ``piece``."""
+        """Encode by halves, down to leaves. What a lookup of the whole would give is for ``piece``."""
         if len(data) <= self.leaf_bytes:
-            return self._merged(data) if data else []
+            return self._merged(data) if len(data) > 1 else [self.ranks[data]] if data else []
+        if (known := self.nodes.get(data)) is not None:
+            return known
         half = len(data) // 2
-        return self.join(self.tree(data[:half]), self.tree(data[half:]))
+        out = self.join(self.tree(data[:half]), self.tree(data[half:]))
+        if len(data) <= MEMO_BYTES:
+            if len(self.nodes) >= MEMO:
+                self.nodes.clear()
+            self.nodes[data] = out
+        return out
 
     def piece(self, data: bytes) -> list[int]:
-        """One match of the pattern: the vocabulary's own token if it has one, else merges."""
-        if (rank := self.ranks.get(data)) is not None:
-            return [rank]
-        return self.leaf(data) if 1 < len(data) <= self.leaf_bytes else self.tree(data)
+        """One match of the pattern: the vocabulary's own token if it has one, else the tree."""
+        rank = self.ranks.get(data)
+        return self.tree(data) if rank is None else [rank]
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -116,17 +155,17 @@ def load_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}
 
 
-_models: dict[tuple, tuple[ByteBpe, PartCache]] = {}
+_models: dict[tuple, ByteBpe] = {}
 
 
 def _model(lines: bytes, pattern: str) -> tuple[ByteBpe, PartCache]:
-    """One encoder and one cache for each Python worker."""
+    """The worker's encoder, with a cache for one task."""
     key = (binascii.crc32(lines), len(lines), pattern)
     if key not in _models:
-        model = ByteBpe(load_ranks(lines), pattern)
-        packed = lambda parts: [np.array(model.encode(p), np.uint32).tobytes() for p in parts]
-        _models[key] = model, PartCache(packed)
-    return _models[key]
+        _models.clear()
+        _models[key] = ByteBpe(load_ranks(lines), pattern)
+    model = _models[key]
+    return model, PartCache(lambda parts: [array("I", model.encode(p)).tobytes() for p in parts])
 
 
 def _batch_ids(texts: pa.Array, model: ByteBpe, cache: PartCache) -> Iterator[np.ndarray]:

@@ -44,7 +44,7 @@ _known: dict[str, int] = {}
 def _place(feature: str) -> int:
     place = _known.get(feature)
     if place is None:
-        if len(_known) > 500_000:
+        if len(_known) > 150_000:
             _known.clear()
         place = _known[feature] = xxhash.xxh32_intdigest(feature.encode("utf-8", "surrogatepass"), 11) & ((1 << BITS) - 1)
     return place

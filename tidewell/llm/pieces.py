@@ -1,8 +1,8 @@
 """Vectorised encoding of texts whose parts between spaces encode on their own.
 
 Words recur, so each Arrow batch is cut at spaces, its distinct parts are
-encoded once, and the ids are gathered back. A bounded cache per Python worker
-carries parts from one batch to the next.
+encoded once, and the ids are gathered back. A bounded cache carries parts
+from one batch of a task to the next and goes when the task ends.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 
 from .shared import ragged
 
-#: Parts that each of a worker's two cache generations holds.
-CACHE_PARTS = 300_000
+#: Parts that each of a cache's two generations holds, of about 150 bytes each.
+CACHE_PARTS = 100_000
 #: Longer parts are encoded each time they occur.
 CACHE_PART_CHARS = 64
 

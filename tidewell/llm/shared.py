@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of an Arrow function holds at once.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 #: Folders written so far, each with the owner it was written for.
 _scratch: list[tuple[str | None, str]] = []
@@ -85,6 +88,14 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(start, stop - start)
         base, start = int(ends[stop - 1]), stop
+    tidy()
+
+
+def tidy() -> None:
+    """Give memory that Arrow and the C library keep for reuse back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def text_offsets(col: pa.Array) -> np.ndarray:
@@ -116,11 +127,37 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()), dtype=np.int64)
 
 
-def by_list(lists: DataFrame, walk: Callable[..., tuple], schema: str = "a long, b long") -> DataFrame:
-    """(a, b) that ``walk`` finds in each list: rows of equal first column, which must stand together in a partition.
+def by_lists(lists: DataFrame, walk: Callable[..., Iterator[tuple]], schema: str = "a long, b long") -> DataFrame:
+    """What ``walk`` finds in lists: rows of equal first column, which must stand together in a partition.
 
-    ``walk`` gets a list's columns, the first included, as arrays (texts as a list); one list is held at a time.
+    ``walk`` gets the columns of many whole lists, sorted by their first two, and yields columns.
     """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            change = np.flatnonzero(cols[0][1:] != cols[0][:-1])
+            cut = int(change[-1]) + 1 if len(change) else 0
+            held = [c[cut:] for c in cols]
+            if cut:
+                yield from out([c[:cut] for c in cols])
+        if held is not None and len(held[0]):
+            yield from out(held)
+
+    def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((cols[1], cols[0]))
+        for found in walk(*(c[order] for c in cols)):
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names)
+
+    return lists.mapInArrow(of, schema)
+
+
+def by_list(lists: DataFrame, walk: Callable[..., tuple]) -> DataFrame:
+    """(a, b) that ``walk`` finds in each list, as ``by_lists``; it gets one list's columns, texts as a list."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -137,11 +174,11 @@ def by_list(lists: DataFrame, walk: Callable[..., tuple], schema: str = "a long,
             yield out(held)
 
     def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        a, b = walk(*(c.to_pylist() if pa.types.is_string(c.type) else c.to_numpy() for c in table.columns))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        columns = [pa.concat_arrays(c) if len(c) > 1 else c[0] for c in zip(*(b.columns for b in held))]
+        found = walk(*(c.to_pylist() if pa.types.is_string(c.type) else c.to_numpy(zero_copy_only=False) for c in columns))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
 
-    return lists.mapInArrow(of, schema)
+    return lists.mapInArrow(of, "a long, b long")
 
 
 def ascii_lower(col: Column) -> Column:

@@ -309,15 +309,16 @@ def simplified(texts: pa.Array) -> pa.Array:
     return pc.if_else(pc.match_substring_regex(texts, _SIGN_RUN), texts, apart)
 
 
-_tokenizers: dict[tuple[int, int], tuple[WordTokenizer, PartCache]] = {}
+_tokenizers: dict[tuple[int, int], WordTokenizer] = {}
 
 
 def _tokenizer(spec: bytes) -> PartCache:
+    """The worker's tokenizer, with a cache for one task."""
     key = (zlib.crc32(spec), len(spec))
     if key not in _tokenizers:
-        tokenizer = WordTokenizer(spec.decode())
-        _tokenizers[key] = tokenizer, PartCache(tokenizer.encode)
-    return _tokenizers[key][1]
+        _tokenizers.clear()
+        _tokenizers[key] = WordTokenizer(spec.decode())
+    return PartCache(_tokenizers[key].encode)
 
 
 def id_type(vocabulary: int) -> str:
