@@ -73,7 +73,6 @@ shared("entity_history", "SELECT ts, event_type AS step, value FROM events WHERE
 shared("entity_status", "SELECT CASE WHEN MAX(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 1 THEN 'failed' WHEN MAX(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 THEN 'done' ELSE 'running' END AS status FROM events WHERE user_id = 11")
 shared("entity_step_summary", "SELECT event_type AS step, MIN(ts) AS first_at, MAX(ts) AS last_at, COUNT(*) AS n, SUM(value) AS total FROM events WHERE user_id = 3 GROUP BY event_type ORDER BY 2")
 shared("events_per_hour_intdiv", "SELECT COUNT(*) div 24 AS per_hour FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00'", "SELECT COUNT(*) // 24 AS per_hour FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00'")
-shared("projection_arithmetic", "SELECT event_id, 100 - value AS rest, value * 2 + 1 AS twice FROM events WHERE value IS NOT NULL AND event_id < 500")
 shared("predicates", "SELECT event_id FROM events WHERE (event_type IN ('click', 'view') OR event_type LIKE 'sign%') AND NOT value BETWEEN 10 AND 20 AND user_id > 5")
 shared("select_distinct", "SELECT DISTINCT event_type AS step FROM events")
 shared("min_max_text_time", "SELECT MIN(event_type) AS lo, MAX(event_type) AS hi, MIN(ts) AS since, MAX(ts) AS until, AVG(value) AS mean FROM events")
@@ -90,7 +89,6 @@ shared("grouping_sets", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM l
 shared("statistics", "SELECT event_type AS step, ROUND(STDDEV_SAMP(value), 6) AS sd, ROUND(CORR(value, CAST(user_id AS DOUBLE)), 6) AS r, BIT_XOR(user_id) AS bits FROM events GROUP BY event_type")
 shared("latest_per_series", "SELECT user_id, ts, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) t WHERE rn = 1")
 shared("window_ranks", "SELECT event_id, RANK() OVER w AS r, DENSE_RANK() OVER w AS d, NTILE(4) OVER (ORDER BY value, event_id) AS q, LAG(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev, LEAD(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events WINDOW w AS (PARTITION BY event_type ORDER BY user_id)")
-shared("window_frames", "SELECT event_id, SUM(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS three, FIRST_VALUE(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first_id, NTH_VALUE(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_id FROM events WHERE user_id < 20")
 shared("window_distribution", "SELECT event_id, PERCENT_RANK() OVER (PARTITION BY event_type ORDER BY event_id) AS p, CUME_DIST() OVER (PARTITION BY event_type ORDER BY event_id) AS c FROM events")
 
 # -- joins and sets -------------------------------------------------------------
@@ -113,8 +111,6 @@ shared("cte", "WITH big AS (SELECT o_custkey, SUM(o_totalprice) AS total FROM or
 shared("recursive_cte", "WITH RECURSIVE r(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 12) SELECT n, f FROM r")
 shared("scalar_subquery", "SELECT event_id FROM events WHERE value > (SELECT AVG(value) FROM events)")
 shared("values_rows", "SELECT a + 1 AS b, c FROM (VALUES (1, 'x'), (2, 'y')) AS t(a, c)")
-shared("unnest", "SELECT event_id, k FROM events LATERAL VIEW explode(array(user_id, event_id)) x AS k WHERE event_id < 100", "SELECT event_id, unnest([user_id, event_id]) AS k FROM events WHERE event_id < 100")
-shared("scalar_functions", "SELECT event_id, UPPER(event_type) AS u, LENGTH(event_type) AS n, SUBSTRING(event_type, 1, 3) AS s, ABS(value - 50) AS d, COALESCE(NULLIF(event_type, 'view'), 'none') AS c FROM events WHERE event_id < 300")
 shared("json_field", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 shared("time_literal", "SELECT COUNT(*) AS n FROM events WHERE ts < '2024-01-08 20:00:00'")
 shared("time_interval", "SELECT COUNT(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '36' HOUR")
