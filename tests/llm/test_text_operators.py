@@ -134,3 +134,41 @@ def test_ordinal_model_on_held_out_rows(spark):
     flat = ordinal.fit_grades(docs, graded.limit(0), 3)
     assert len({r.tail_probability for r in ordinal.score_grades(docs, flat, tail=1).collect()}) == 1
     assert ordinal.score_grades(docs.limit(0), model, tail=1).count() == 0
+
+
+def test_copies_in_the_holdout_are_one_trial(spark):
+    docs = spark.createDataFrame([(n, "en", "plain words here") for n in range(2000)] + [(5000, "en", "#*$% " * 30)], "doc_id long, lang string, text string")
+    out = {r.doc_id: r.kept for r in quality_rules.judge(docs, docs.where("doc_id < 2000").select("doc_id")).collect()}
+    assert all(out.values())  # one distinct text certifies nothing
+
+
+def test_line_lists_beyond_a_chunk_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CHUNK", 16)
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=7))
+    shared, lines = [word() for _ in range(6)], []
+    for own in range(6):  # families that share a third of their words
+        base = shared + [word() for _ in range(12)]
+        for _ in range(12):
+            line = list(base)
+            for n in rnd.sample(range(18), rnd.randint(0, 2)):
+                line[n] = word()
+            lines.append(" ".join(line))
+    long = " ".join(word() for _ in range(2000))
+    lines += [long, long + " more", "x " + long[: len(long) // 2]]
+    docs = spark.createDataFrame([(n, line, "a", "b", 1) for n, line in enumerate(lines)], "doc_id long, text string, gone string, lk string, __c0 int")
+    keys = collections.defaultdict(set)
+    number, key, sketch = line_dedup.block_keys(pa.array(lines))
+    for n, k in zip(number, key):
+        keys[n].add(int(k))
+    root = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            apart = sum((int(x) ^ int(y)).bit_count() for x, y in zip(sketch[a], sketch[b]))
+            bound = max(len(lines[a]), len(lines[b])) > line_dedup.LONG_LINE or apart <= line_dedup.DISTANCE
+            if keys[a] & keys[b] and bound and line_dedup.similar(lines[a], lines[b], 0.8):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {n: int(root[n] != n) for n in range(len(lines))}
+    assert len(set(root)) < 20

@@ -58,3 +58,10 @@ def test_empty_and_canonical(spark):
 @pytest.mark.parametrize("text", ["http://x.com", "http://x.com/", "https://www.x.com:443"])
 def test_same_page(text):
     assert warc.canonical_url(text) == "x.com/"
+
+
+def test_escapes_that_tell_pages_apart_stay():
+    same = lambda a, b: warc.canonical_url(f"http://a.com{a}") == warc.canonical_url(f"http://a.com{b}")
+    assert same("/%7euser", "/~user") and same("/%c3%a9", "/%C3%A9")
+    assert not same("/x%3Fb=1", "/x?b=1") and not same("/p%2Fq", "/p/q") and not same("/%FF", "/%FE")
+    assert warc.canonical_url("http://u:p@a.com/") != warc.canonical_url("http://a.com/")

@@ -169,14 +169,18 @@ class RiskControl:
     rules: tuple[Rule, ...] = field(default=RULES)
 
 
-def calibrate(stats: DataFrame, good: DataFrame, stratum: str, control: RiskControl, id_col: str = "doc_id") -> DataFrame:
+def calibrate(stats: DataFrame, good: DataFrame, stratum: str, control: RiskControl, id_col: str = "doc_id", unit: str | None = None) -> DataFrame:
     """(stratum, one column for each rule): the strictest certified cutoffs, null where none is.
 
+    The bounds hold for independent trials, so rows of a stratum that agree in
+    ``unit`` (a hash of the text) are one trial; near copies still count apart.
     ``good`` has the ids of labelled good documents; repeated ids count once,
     null ids never match. Null strata are a stratum of their own. Only counts
     per stratum leave the executors' join, however many rows are labelled.
     """
     held = stats.join(good.select(F.col(id_col).alias("__good")).where("__good is not null").distinct(), stats[id_col] == F.col("__good"), "left_semi")
+    if unit is not None:
+        held = held.dropDuplicates([stratum, unit])
     tests = [F.count(F.when(F.expr(r.statistic) > c, 1)).alias(f"{r.name}_{k}") for r in control.rules for k, c in enumerate(r.cutoffs)]
     counts = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("trials"), *tests)
     n_strata = counts.count()
@@ -209,8 +213,9 @@ def judge(docs: DataFrame, good: DataFrame, stratum: str = "lang", control: Risk
     documents has no certified cutoff and loses nothing but to ``base``.
     Empty texts have zero statistics. Empty tables give empty results.
     """
-    stats = staged(text_stats(docs.select(id_col, stratum, text_col), text_col), "text-stats")
-    found = staged(calibrate(stats, good, stratum, control, id_col), "cutoffs")
+    rows = docs.select(id_col, stratum, text_col, F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("__unit"))
+    stats = staged(text_stats(rows, text_col), "text-stats")
+    found = staged(calibrate(stats, good, stratum, control, id_col, "__unit"), "cutoffs")
     few = found.count() <= BROADCAST_STRATA
     names = {r.name: f"__{r.name}" for r in control.rules}
     cuts = found.select(F.col("stratum").alias("__stratum"), *(F.col(a).alias(b) for a, b in names.items()))

@@ -34,8 +34,9 @@ class UrlRule:
 @dataclass
 class _Node:
     children: dict[str, "_Node"] = field(default_factory=dict)
-    #: Rules whose last, possibly partial, path segment hangs here: (partial, rule).
-    ends: list[tuple[str, UrlRule]] = field(default_factory=list)
+    #: Rules whose last, possibly partial, path segment hangs here, by that segment; and the segments' lengths, longest first.
+    ends: dict[str, UrlRule] = field(default_factory=dict)
+    lengths: list[int] = field(default_factory=list)
     #: Root of the path trie of a host; only on host nodes.
     paths: "_Node | None" = None
     #: A rule with an empty path, which fits every path.
@@ -67,7 +68,15 @@ class HostPathTrie:
             at, segments = node.paths, r.path.split("/")
             for segment in segments[:-1]:
                 at = at.children.setdefault(segment, _Node())
-            at.ends.append((segments[-1], r))
+            at.ends[segments[-1]] = r
+        self._measure(self.root)
+
+    def _measure(self, root: "_Node") -> None:
+        held = [root]
+        while held:
+            node = held.pop()
+            node.lengths = sorted({len(x) for x in node.ends}, reverse=True)
+            held += [*node.children.values(), *([node.paths] if node.paths else [])]
 
     def find(self, host: str, path: str) -> UrlRule | None:
         node, found = self.root, []
@@ -86,9 +95,11 @@ class HostPathTrie:
     def _path(node: _Node, path: str) -> UrlRule | None:
         best, segments = node.whole, path.split("/") if path else []
         for segment in segments:
-            for partial, rule in node.ends:
-                if segment.startswith(partial) and (best is None or len(rule.path) > len(best.path)):
+            # A rule that ends here is longer than any that ended before, and the longest one counts.
+            for length in node.lengths:
+                if length <= len(segment) and (rule := node.ends.get(segment[:length])) is not None:
                     best = rule
+                    break
             node = node.children.get(segment)
             if node is None:
                 break
@@ -123,7 +134,7 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow", u
     Columns of the input named like the four new ones are replaced. An empty
     table gives an empty result; no rules give ``default`` everywhere.
 
-    The trie is closed over by the tasks while there are no more than
+    The trie is broadcast while there are no more than
     ``MAX_BROADCAST_RULES``; beyond that a join on host suffix and complete
     path segments finds the same rule.
     """
@@ -131,14 +142,14 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow", u
         raise ValueError(f"unknown verdict {default!r}")
     if len(rules) > MAX_BROADCAST_RULES:
         return _judge_by_join(pages, rules, default, url)
-    trie = HostPathTrie(rules)
+    trie = pages.sparkSession.sparkContext.broadcast(HostPathTrie(rules))
 
     @F.pandas_udf("host string, path string, rule string, verdict string")
     def judged(urls: pd.Series) -> pd.DataFrame:
         rows = []
         for value in urls:
             host, path = split_url(value)
-            rule = trie.find(host, path) if host else None
+            rule = trie.value.find(host, path) if host else None
             rows.append((host, path, rule.text if rule else None, rule.action if rule else default))
         return pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"])
 

@@ -15,7 +15,7 @@ row each.
 from __future__ import annotations
 
 import re
-from urllib.parse import unquote, urlsplit
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,9 +32,18 @@ TRACKING = re.compile(r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid)$", re
 PARTITION_ROWS = 2_000_000
 
 
+_ESCAPE = re.compile("%([0-9A-Fa-f]{2})")
+
+
+def _plain(escape: re.Match) -> str:
+    c = chr(int(escape[1], 16))
+    return c if c.isascii() and (c.isalnum() or c in "-._~") else escape[0].upper()
+
+
 def canonical_url(url: str | None) -> str | None:
     """Scheme, ``www.``, default port, fragment, tracking parameters and a final slash do
-    not tell pages apart; host case does not, and parameters are sorted. Null for null."""
+    not tell pages apart; host case does not, and parameters are sorted. In the path, escapes of
+    characters that need none are written plainly; others stay, in upper case. Null for null."""
     if url is None:
         return None
     try:
@@ -47,7 +56,9 @@ def canonical_url(url: str | None) -> str | None:
     host = (parts.hostname or "").removeprefix("www.")
     if port not in (None, 80, 443):
         host += f":{port}"
-    path = re.sub(r"/{2,}", "/", unquote(parts.path)).rstrip("/") or "/"
+    if "@" in parts.netloc:
+        host = f"{parts.netloc.rpartition('@')[0]}@{host}"
+    path = re.sub(r"/{2,}", "/", _ESCAPE.sub(_plain, parts.path)).rstrip("/") or "/"
     query = "&".join(sorted(p for p in parts.query.split("&") if p and not TRACKING.match(p.split("=", 1)[0])))
     return host + path + ("?" + query if query else "")
 
