@@ -3,7 +3,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.database import Database, Refused, list_databases
+from tidewell.database import Database, Refused, apart, list_databases
 from tidewell.model import SchemaError
 from tidewell.operators import Rollup, RollupAgg
 from tidewell.operators.rollup import FUNCTIONS
@@ -222,3 +222,52 @@ def test_streams(db, spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.sql("select h, v from latest").collect())) == [("a", 2.0), ("b", 3.0)]
+
+
+def scanned(df):
+    """The files that the plan reads."""
+    return set(df.inputFiles())
+
+
+def test_files_that_share_no_time_are_not_merged(db):
+    db.write_lp("\n".join(f"m,tag=a v={n} {n * HOUR + 5}" for n in range(4)))
+    plan = lambda: db.read("m")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan()
+    db.write_lp(f"m,tag=a v=9 {HOUR + 5}\nm,tag=a v=8 {2 * HOUR + 7}")
+    assert "Aggregate" in plan()
+    assert rows(db.read("m"), "time", "v") == sorted([(5, 0.0), (HOUR + 5, 9.0), (2 * HOUR + 5, 2.0), (2 * HOUR + 7, 8.0), (3 * HOUR + 5, 3.0)], key=str)
+    alone, shared = apart(db.state().of("m"))
+    assert sorted(f.min_ns for f in alone) == [5, 2 * HOUR + 5, 2 * HOUR + 7, 3 * HOUR + 5] and [f.min_ns for f in shared] == [HOUR + 5] * 2
+
+
+def test_two_reads_of_one_table_are_two_relations(db):
+    db.write_lp("m,tag=a v=1 1\nm,tag=b v=2 2")
+    x, y = db.read("m"), db.read("m")
+    assert x.join(y, x["v"] < y["v"]).count() == 1
+
+
+def test_time_in_sql_prunes_files(spark, db):
+    db.write_lp("\n".join(f"m,tag=a v={n} {n * HOUR + 5}" for n in range(24)))
+    run = Runner(spark, {"poc": db}.get)
+    seen = []
+    read = db.read
+    db.read = lambda *a, **k: seen.append(len(scanned(out := read(*a, **k)))) or out
+    ask = lambda where, more="": run.run(f"SELECT count(*) AS n FROM m WHERE {where} {more}").first().n
+    assert ask("time >= '1970-01-01 20:00:00'") == 4 and seen.pop() == 4
+    assert ask("time < '1970-01-01 02:00:00'") == 2 and seen.pop() <= 3
+    assert ask("TIMESTAMP '1970-01-01 05:30:00' > time AND time BETWEEN '1970-01-01 03:00:00' AND '1970-01-01 09:00:00'") == 3 and seen.pop() == 3
+    assert ask(f"time_ns = {3 * HOUR + 5}") == 1 and seen.pop() == 1
+    assert ask("time >= '1970-01-01 20:00:00' OR v = 1") == 5 and seen.pop() == 24
+    assert ask("time > now()") == 0 and seen.pop() == 0
+    assert ask("time >= '1970-01-01 20:00:00' AND v > (SELECT avg(v) FROM m)") == 4 and seen.pop() == 24
+    assert ask("time >= '1970-01-01 20:00:00' AND v >= (SELECT max(v) FROM poc.m WHERE time < '1970-01-01 22:00:00')") == 3
+    assert run.run("WITH c AS (SELECT * FROM m) SELECT count(*) AS n FROM c a JOIN c b ON a.v = b.v WHERE a.time >= '1970-01-01 20:00:00'").first().n == 4
+    assert run.run("SELECT count(*) AS n FROM (SELECT time, row_number() OVER (ORDER BY time) AS r FROM m) WHERE time >= '1970-01-01 20:00:00' AND r > 20").first().n == 4
+
+
+def test_rollup_leaves_out_values_that_are_not_finite(db):
+    minute = 60 * SECOND
+    db.write_lp(f"m,tag=a v=1.7e308 1\nm,tag=a v=1.7e308 2\nm,tag=a v=1 {minute}")
+    db.set_rollup(Rollup("r", "m", 60, (RollupAgg("sum", "v", "s"),), "m_1m", ("tag",)))
+    assert db.materialize(5 * minute)["r"] == 1
+    assert rows(db.read("m_1m"), "time", "s") == [(minute, 1.0)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import OrderedDict
 from collections.abc import Iterable
 from dataclasses import asdict
 
@@ -33,12 +34,34 @@ NS_HOUR = 3_600 * 10**9
 REBALANCE_FROM = 5_000_000
 #: Files of an hour from which it is compacted.
 MIN_FILES = 4
+#: Scans whose file listings are kept; files never change, so a listing stays true.
+KEPT_SCANS = 16
 
 
 class Refused(ValueError):
     """A write or a command that cannot be taken."""
 
 
+def apart(files: Iterable[FileMeta]) -> tuple[list[FileMeta], list[FileMeta]]:
+    """Files that share no time with a file of another write, and the others. One write holds each key once."""
+    hours: dict[str, list[FileMeta]] = {}
+    for f in files:
+        hours.setdefault(f.hour, []).append(f)
+    alone, shared = [], []
+    for own in hours.values():
+        runs: list[list[FileMeta]] = []
+        newest = None
+        for f in sorted(own, key=lambda f: (f.min_ns, f.max_ns, f.path)):
+            if newest is None or f.min_ns > newest:
+                runs.append([])
+                newest = f.max_ns
+            runs[-1].append(f)
+            newest = max(newest, f.max_ns)
+        for run in runs:
+            (alone if len({f.path.rsplit("/hour=", 1)[0] for f in run}) == 1 else shared).extend(run)
+    return alone, shared
+
+
 class Database:
     """One namespace below ``root``. Readers see a commit whole or not at all."""
 
@@ -46,6 +69,7 @@ class Database:
         self.spark, self.name = spark, name
         self.root = f"{root.rstrip('/')}/{name}"
         self.log = Log(spark, f"{self.root}/manifest")
+        self._scans: OrderedDict[tuple, DataFrame] = OrderedDict()
 
     # -- definitions -------------------------------------------------------
 
@@ -195,25 +219,49 @@ class Database:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f.path for f in files))
 
+    def _kept_scan(self, table: TableDef, files: list[FileMeta]) -> DataFrame:
+        """A scan whose files are listed once. Its columns are new each time, as those of two reads must differ."""
+        key = (table.schema.json(), tuple(f.path for f in files))
+        scan = self._scans.pop(key, None)
+        self._scans[key] = scan = self._scan(table, files) if scan is None else scan
+        while len(self._scans) > KEPT_SCANS:
+            self._scans.popitem(last=False)
+        return scan.select(*(F.col(f"`{c}`").alias(c) for c in scan.columns))
+
     def read(self, table: str, auths: Iterable[str] = (), start: int | None = None, end: int | None = None, dedup: bool = True, system: bool = False) -> DataFrame:
         """Rows that a reader may see. Labels and deletes are filters below whatever the caller adds.
 
         ``start`` and ``end`` (inclusive nanoseconds) leave out files by the
         log's times. ``dedup=False`` shows what compaction has not merged yet.
+        Files that share no time with a file of another write need no merging.
         """
         state, shape = self.state(), self.table(table)
         files = [f for f in state.of(table) if (start is None or f.max_ns >= start) and (end is None or f.min_ns <= end)]
-        rows = self._scan(shape, files)
-        if start is not None:
-            rows = rows.where(F.col(TIME) >= start)
-        if end is not None:
-            rows = rows.where(F.col(TIME) <= end)
-        rows = hide_deleted(rows, list(state.tombstones.get(table, {}).values()))
-        rows = apply_visibility(rows, auths) if VISIBILITY in shape.tags else rows
-        if dedup:
-            rows = last_write_wins(rows, shape.key, [COMMIT, SEQ])
+        stones = list(state.tombstones.get(table, {}).values())
+
+        def seen(some: list[FileMeta]) -> DataFrame:
+            rows = self._kept_scan(shape, some)
+            if start is not None:
+                rows = rows.where(F.col(TIME) >= start)
+            if end is not None:
+                rows = rows.where(F.col(TIME) <= end)
+            rows = hide_deleted(rows, stones)
+            return apply_visibility(rows, auths) if VISIBILITY in shape.tags else rows
+
+        alone, shared = apart(files) if dedup else (files, [])
+        rows = seen(alone) if alone or not shared else None
+        if shared:
+            merged = last_write_wins(seen(shared), shape.key, [COMMIT, SEQ])
+            rows = merged if rows is None else rows.unionByName(merged)
         return rows if system else rows.select(*(f"`{c}`" for c in shape.columns))
 
+    def probe(self, table: str) -> tuple[DataFrame, str | None]:
+        """The table's columns over one of its files, and that file's path: enough to plan a query by."""
+        files = self.state().of(table)[:1]
+        shape = self.table(table)
+        path = str(self.spark._jvm.org.apache.hadoop.fs.Path(files[0].path).toString()) if files else None
+        return self._kept_scan(shape, files).select(*(f"`{c}`" for c in shape.columns)), path
+
     def last_cache(self, table: str, auths: Iterable[str] = ()) -> DataFrame:
         """The newest row of each series; just an empty ``time`` where the cache is off or the table unknown."""
         state = self.state()
@@ -358,7 +406,10 @@ class Database:
         table = tables[r.source]
         rows = rollup_frame(source, table, r, *due)
         aggs = {a.output for a in r.aggregates}
-        rows = rows.select(*(F.col(c).cast("double") if k.startswith("decimal") and c in aggs else F.col(c) for c, k in rows.dtypes))
+        rows = rows.select(*(F.col(c).cast("double").alias(c) if k.startswith("decimal") and c in aggs else F.col(c) for c, k in rows.dtypes))
+        # A value that is not finite is left out, and so is a row without any value.
+        finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c)
+        rows = rows.select(*(finite(c) if k == "double" and c in aggs else F.col(c) for c, k in rows.dtypes)).where(" or ".join(f"`{a}` is not null" for a in sorted(aggs)))
         return self.ingest_dataframe(rows, r.into, {c: "tag" if c not in aggs else "field" for c in rows.columns if c != TIME})
 
 

@@ -136,19 +136,8 @@ class Runner:
         register_sql_functions(own)
         sql = _listing(sql)
         relations = check_read_only(own, sql)
-        views: dict[tuple, str] = {}
-
-        def name_of(r: Relation) -> str | None:
-            key = (r.parts, r.literals)
-            if key not in views:
-                frame = self._frame(home, db, r, session)
-                if frame is None:
-                    return None
-                views[key] = f"t_{uuid.uuid4().hex}" if r.literals is not None or len(r.parts) > 1 else r.parts[-1]
-                _in_session(own, frame).createOrReplaceTempView(f"`{views[key]}`")
-            return f"`{views[key]}`" if len(r.parts) > 1 or r.literals is not None else None
-
-        text = rename_relations(sql, relations, name_of)
+        bounds = self._bounds(own, sql, relations, home, db, session) if re.search("time", sql, re.I) else {}
+        text = self._named(own, sql, relations, lambda r: self._frame(home, db, r, session, bounds))
         own.sparkContext.addJobTag(ref)
         timer = threading.Timer(self.deadline, lambda: own.sparkContext.cancelJobsWithTag(ref))
         started = time.monotonic()
@@ -167,24 +156,62 @@ class Runner:
             raise QueryError(f"the result has more than {self.row_cap} rows", "refused")
         return own.createDataFrame(table, capped.schema) if table.num_rows else own.createDataFrame([], capped.schema)
 
-    def _frame(self, home, db: str, r: Relation, session: Session) -> DataFrame | None:
-        if r.literals is not None:
-            return with_timestamp(home.last_cache(r.literals[0], session.auths))
+    def _named(self, own: SparkSession, sql: str, relations: list[Relation], frame_of: Callable[[Relation], DataFrame | None]) -> str:
+        """The query over views in ``own``, one for each relation that ``frame_of`` knows."""
+        views: dict[tuple, str] = {}
+
+        def name_of(r: Relation) -> str | None:
+            key = (r.parts, r.literals)
+            if key not in views:
+                frame = frame_of(r)
+                if frame is None:
+                    return None
+                views[key] = f"t_{uuid.uuid4().hex}" if r.literals is not None or len(r.parts) > 1 else r.parts[-1]
+                _in_session(own, frame).createOrReplaceTempView(f"`{views[key]}`")
+            return f"`{views[key]}`" if len(r.parts) > 1 or r.literals is not None else None
+
+        return rename_relations(sql, relations, name_of)
+
+    def _bounds(self, own: SparkSession, sql: str, relations: list[Relation], home, db: str, session: Session) -> dict[tuple, tuple]:
+        """By relation the nanoseconds that the query can need of it, as the optimizer's filters say over one file of each table."""
+        paths: dict[tuple, str] = {}
+
+        def frame_of(r: Relation) -> DataFrame | None:
+            if r.literals is not None or (held := self._home_of(home, db, r)) is None:
+                return self._frame(home, db, r, session)
+            frame, path = held.probe(r.parts[-1])
+            if path is not None:
+                paths[r.parts] = path
+            return with_timestamp(frame)
+
+        text = self._named(own, sql, relations, frame_of)
+        try:
+            found = time_bounds(own.sql(text)._jdf.queryExecution().optimizedPlan())
+        except PySparkException:  # the query itself will say what is wrong
+            return {}
+        return {parts: found[path] for parts, path in paths.items() if path in found}
+
+    def _home_of(self, home, db: str, r: Relation):
+        """The database of a stored table; None for the listings of ``information_schema``."""
         parts = [p.lower() for p in r.parts]
-        if parts[-2:] == ["information_schema", "tables"]:
-            return home.list_tables()
-        if parts[-2:] == ["information_schema", "columns"]:
-            return _columns(home)
+        if parts[-2:] in (["information_schema", "tables"], ["information_schema", "columns"]):
+            return None
         if len(parts) == 2 and parts[0] not in ("public", db.lower()) or len(parts) == 3 and parts[1] != "public" or len(parts) > 3:
             home = self.database_of(r.parts[0]) if len(parts) == 2 else None
-            if home is None:
-                raise QueryError(f"no such table: {'.'.join(r.parts)}", "refused")
         elif len(parts) == 3:
             home = self.database_of(r.parts[0])
-        name = r.parts[-1]
-        if home is None or name not in home.state().tables:
+        if home is None or r.parts[-1] not in home.state().tables:
             raise QueryError(f"no such table: {'.'.join(r.parts)}", "refused")
-        return with_timestamp(home.read(name, session.auths))
+        return home
+
+    def _frame(self, home, db: str, r: Relation, session: Session, bounds: dict[tuple, tuple] = {}) -> DataFrame | None:
+        if r.literals is not None:
+            return with_timestamp(home.last_cache(r.literals[0], session.auths))
+        held = self._home_of(home, db, r)
+        if held is None:
+            return home.list_tables() if r.parts[-1].lower() == "tables" else _columns(home)
+        start, end = bounds.get(r.parts, (None, None))
+        return with_timestamp(held.read(r.parts[-1], session.auths, start=start, end=end))
 
 
 _SHOW = re.compile(r"\s*SHOW\s+TABLES\s*;?\s*", re.I)
@@ -211,6 +238,64 @@ def _in_session(session: SparkSession, df: DataFrame) -> DataFrame:
     return DataFrame(moved, session)
 
 
+#: ``time`` of ``with_timestamp`` as the optimizer writes it, without expression ids.
+_TIME_AS_TIMESTAMP = f"timestamp_micros((({TIME} - pmod({TIME}, 1000)) div 1000))"
+#: What a query's clock may move between two plans of it.
+_CLOCK_NS = 600 * 10**9
+_FLIPPED = {"GreaterThan": "LessThan", "GreaterThanOrEqual": "LessThanOrEqual", "LessThan": "GreaterThan", "LessThanOrEqual": "GreaterThanOrEqual", "EqualTo": "EqualTo"}
+
+
+def time_bounds(plan) -> dict[str, tuple[int | None, int | None]]:
+    """By path of a scanned file the nanoseconds, both ends included, outside of which no scan of it needs rows.
+
+    ``plan`` is an optimized plan. A scan without a filter right above it needs
+    all; of several scans the widest counts. The end has ``_CLOCK_NS`` to spare.
+    """
+    out: dict[str, tuple[int | None, int | None]] = {}
+
+    def kids(node) -> list:
+        return [s.apply(n) for s in (node.children(), node.subqueries(), node.innerChildren()) for n in range(s.size())]
+
+    def widen(path: str, start: int | None, end: int | None) -> None:
+        old = out.get(path, (start, end))
+        out[path] = (None if None in (start, old[0]) else min(start, old[0]), None if None in (end, old[1]) else max(end, old[1]))
+
+    held = [(plan, (None, None))]
+    while held:
+        node, bounds = held.pop()
+        name = node.nodeName()
+        if name == "LogicalRelation":
+            paths = node.relation().location().rootPaths()
+            widen(paths.apply(0).toString(), *bounds)
+        of = _condition_bounds(node.condition()) if name == "Filter" else (None, None)
+        held += [(k, of) for k in kids(node)] if name != "Filter" else [(node.child(), of), *((s, (None, None)) for s in kids(node)[1:])]
+    return out
+
+
+def _condition_bounds(condition) -> tuple[int | None, int | None]:
+    name = condition.getClass().getSimpleName()
+    if name == "And":
+        (a, b), (c, d) = (_condition_bounds(x) for x in (condition.left(), condition.right()))
+        return max((x for x in (a, c) if x is not None), default=None), min((x for x in (b, d) if x is not None), default=None)
+    if name not in _FLIPPED:
+        return None, None
+    column, literal = condition.left(), condition.right()
+    if column.getClass().getSimpleName() == "Literal":
+        column, literal, name = literal, column, _FLIPPED[name]
+    if literal.getClass().getSimpleName() != "Literal" or not isinstance(value := literal.value(), int):
+        return None, None
+    shown, kind = re.sub(r"#\d+L?", "", column.toString()), literal.dataType().simpleString()
+    if shown == _TIME_AS_TIMESTAMP and kind == "timestamp":
+        low, high = value * 1000, value * 1000 + 999
+    elif shown == TIME and kind == "bigint":
+        low = high = value
+    else:
+        return None, None
+    bound = lambda x: min(max(x, -(1 << 63)), (1 << 63) - 1)
+    low, high = bound(low), bound(high + _CLOCK_NS)
+    return (None if name.startswith("Less") else low), (None if name.startswith("Greater") else high)
+
+
 def with_timestamp(df: DataFrame) -> DataFrame:
     """``time`` as a timestamp, for SQL; ``time_ns`` keeps the nanoseconds."""
     if TIME not in df.columns:
