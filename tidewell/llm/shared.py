@@ -156,31 +156,6 @@ def by_lists(lists: DataFrame, walk: Callable[..., Iterator[tuple]], schema: str
     return lists.mapInArrow(of, schema)
 
 
-def by_list(lists: DataFrame, walk: Callable[..., tuple]) -> DataFrame:
-    """(a, b) that ``walk`` finds in each list, as ``by_lists``; it gets one list's columns, texts as a list."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for at, stop in zip(cuts, cuts[1:]):
-                if stop > at and held and held[-1].column(0)[0].as_py() != key[at]:
-                    yield out(held)
-                    held = []
-                if stop > at:
-                    held.append(batch.slice(at, stop - at))
-        if held:
-            yield out(held)
-
-    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        columns = [pa.concat_arrays(c) if len(c) > 1 else c[0] for c in zip(*(b.columns for b in held))]
-        found = walk(*(c.to_pylist() if pa.types.is_string(c.type) else c.to_numpy(zero_copy_only=False) for c in columns))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
-
-    return lists.mapInArrow(of, "a long, b long")
-
-
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else, in the JVM.
 
