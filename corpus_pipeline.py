@@ -47,10 +47,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles.
-
-    SimHash bits tell too little at that similarity; an exact key replaces them.
-    """
+    """One document of each group linked by close SimHashes and a Jaccard similarity of 0.8 or more over five-word shingles."""
     return jaccard.drop_near_duplicates(docs, shingle=5)
 
 

@@ -1,8 +1,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+from pyspark.sql import functions as F
 
-from tidewell.llm import jaccard
+from tidewell.llm import jaccard, simhash
 
 
 def grams(text):
@@ -62,3 +64,45 @@ def test_nulls_and_empty_table(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     assert sorted(((r.doc_id, r.text.lower().split()[0]) for r in jaccard.drop_near_duplicates(docs).collect()), key=str) == [(1, "a"), (None, "only")]
     assert jaccard.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_candidates_are_all_pairs_within_the_simhash_distance_once():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 30).astype(np.uint64)
+    sh = np.concatenate([base ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 8), replace=False))) for _ in range(12)])
+    n = rng.integers(80, 130, len(sh))
+    rows = []
+    for k, choice in enumerate(jaccard._CHOICES):
+        mask = np.uint64(sum(int(jaccard._MASKS[b]) for b in choice))
+        place = np.unique(sh & mask, return_inverse=True)[1]
+        rows += [(k << jaccard._KEY_BITS | int(p), int(size), node) for node, (p, size) in enumerate(zip(place, n))]
+    key, size, node = (np.array(c) for c in zip(*sorted(rows)))
+    got = [tuple(sorted(p)) for i, j in jaccard._candidates(key, size, sh[node], jaccard.DISTANCE) for p in zip(node[i].tolist(), node[j].tolist())]
+    want = {(a, b) for b in range(len(sh)) for a in range(b) if int(sh[a] ^ sh[b]).bit_count() <= jaccard.DISTANCE and 5 * min(n[a], n[b]) >= 4 * max(n[a], n[b])}
+    assert len(want) > 500 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_duplicates_carry_simhash_fingerprints_of_distinct_words(spark):
+    rows = spark.createDataFrame([(1, "a b A c"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r.sh & (1 << 64) - 1 for r in jaccard.set_keys(rows).collect()}
+    assert got == {1: simhash.fingerprint(np.unique(simhash.shingle_hashes("a b c", 1))), 2: 0}
+    keys = rows.select(F.lit(-1).cast("long").alias("sh")).select(jaccard._keys("sh")).distinct().collect()
+    assert len(keys) == len(jaccard._CHOICES) and all(r.key.bit_length() <= jaccard._KEY_BITS + 6 for r in keys)
+
+
+def test_bound_on_shared_shingles_loses_no_pair():
+    rng = np.random.default_rng(6)
+    lost = passed = pairs = 0
+    for size in (5, 60, 400, 3000):
+        sets = []
+        for part in rng.random(40) * 0.4:
+            own = np.random.default_rng(size).integers(0, 2**63, size).astype(np.uint64)
+            new = rng.random(size) < part
+            sets.append(np.unique(np.where(new, rng.integers(0, 2**63, size).astype(np.uint64), own)))
+        odd, n = np.frombuffer(b"".join(map(jaccard._odd, sets)), np.uint64).reshape(len(sets), -1), np.array(list(map(len, sets)))
+        i, j = np.triu_indices(len(sets), 1)
+        for a, b, may in zip(i, j, jaccard._may_link(odd, n, i, j)):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            near = 9 * both >= 4 * (n[a] + n[b])
+            pairs, passed, lost = pairs + 1, passed + may, lost + (near and not may)
+    assert lost == 0 and passed < pairs
