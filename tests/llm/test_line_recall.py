@@ -80,3 +80,28 @@ def test_distance_bounds_lose_no_pair():
             pairs, passed, lost = pairs + 1, passed + may, lost + (near and not may)
     assert lost == 0 and passed < pairs / 3
     assert line_dedup.distance_bounds([], np.zeros(0, int), np.zeros(0, int), 0.8).shape == (0,)
+
+
+def test_lines_of_any_length_link_by_edit_similarity(monkeypatch):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choices("abcdefghij", k=9)) for _ in range(1100)]
+    # A changed character in a third of the words: few trigrams stay, and 97 of 100 characters.
+    near = [w[:4] + "x" + w[5:] if n % 3 == 0 else w for n, w in enumerate(words)]
+    far = ["".join(rnd.choices("klmnop", k=9)) if n % 4 == 0 else w for n, w in enumerate(words)]
+    one, two, three = (" ".join(w) for w in (words, near, far))
+    assert min(map(len, (one, two, three))) > line_dedup.LONG_LINE
+    assert line_dedup.similar(one, two, 0.8) and not line_dedup.similar(one, three, 0.8)
+    # Bands give what the plain distance gives.
+    monkeypatch.setattr(line_dedup, "LONG_LINE", 4)
+    monkeypatch.setattr(line_dedup, "FIRST_BAND", 1)
+    for _ in range(1500):
+        a = "".join(rnd.choices("abé", k=rnd.randint(6, 40)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 9)):
+            at, do = rnd.randrange(len(b) + 1), rnd.random()
+            b[at : at + (do > 0.3)] = [] if do > 0.6 else [rnd.choice("abx")]
+        b, most = "".join(b), rnd.randint(0, 12)
+        want = plain_distance(a, b)
+        assert min(line_dedup.edit_distance(a, b, most), most + 1) == min(want, most + 1)
+        if most < len(a):
+            assert line_dedup._banded(a, b, most) == min(want, most + 1)

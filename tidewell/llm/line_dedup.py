@@ -47,8 +47,10 @@ VOTE_BYTES = 4
 DISTANCE = 32
 #: MinHash bands of ``wide``, hashes in a band, bytes in a run, and words from which lines have none.
 BANDS, BAND_ROWS, RUN, BAND_WORDS = 24, 2, 7, 16
-#: If either line has more characters, similarity is that of their sets of word trigrams: edit distance is quadratic.
+#: The edit distance of lines with more characters is sought in growing bands, with the same result.
 LONG_LINE = 10_000
+#: The first band; each next one is four times as wide.
+FIRST_BAND = 256
 #: Up to so many rows of a few dozen bytes are broadcast; more are joined.
 BROADCAST_ROWS = 200_000
 #: Lists up to this are compared pair by pair.
@@ -245,10 +247,10 @@ def _compatible(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     out = np.minimum(a[..., 0], b[..., 0]) >= least * longest - 1e-6
     few = (a[..., 1] & b[..., 1]).astype(bool)
     apart = np.bitwise_count(a[..., 2:] ^ b[..., 2:]).sum(axis=-1, dtype=np.int64)
-    out &= few | (a[..., 1] != b[..., 1]) | (apart <= DISTANCE) | (longest > LONG_LINE)
+    out &= few | (a[..., 1] != b[..., 1]) | (apart <= DISTANCE)
     if (out & few).any():
         moved = np.abs(_nibbles(a[..., 2:]) - _nibbles(b[..., 2:])).sum(axis=-1)
-        out &= ~few | (moved <= 2 * ((1 - least) * longest + 1e-6)) | (longest > LONG_LINE)
+        out &= ~few | (moved <= 2 * ((1 - least) * longest + 1e-6))
     return out
 
 
@@ -294,6 +296,14 @@ def edit_distance(a: str, b: str, most: int) -> int:
     a, b = a[: len(a) - n], b[: len(b) - n]
     if not a or not b:
         return max(len(a), len(b))
+    if min(len(a), len(b)) > LONG_LINE:
+        width = FIRST_BAND
+        while width < most and 2 * width < len(a):
+            if (found := _banded(a, b, width)) <= width:
+                return found
+            width *= 4
+        if 2 * most < len(a):
+            return _banded(a, b, most)
     # Bit-parallel columns (Myers 1999, Hyyro 2003), a bit for each character of a.
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     match: dict[str, int] = {}
@@ -315,9 +325,35 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
-def trigrams(line: str) -> set[str]:
-    words = line.split(" ")
-    return {" ".join(words[n : n + 3]) for n in range(max(1, len(words) - 2))}
+def _banded(a: str, b: str, most: int) -> int:
+    """``edit_distance`` from the cells within ``most`` of the diagonal alone; ``a`` is longer than ``most``."""
+    m, n = len(a), len(b)
+    if abs(m - n) > most:
+        return most + 1
+    match: dict[str, int] = {}
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for c in set(a):
+        match[c] = int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little")
+    # Columns of the band (Hyyro 2003): bit t of column j stands for row j - most + t. The distance is followed along the
+    # band's last diagonal until that meets the last row, and then along the row.
+    full, top = (1 << 2 * most + 1) - 1, 1 << 2 * most
+    plus, minus, score = full & ~((1 << most) - 1), 0, most
+    for j, c in enumerate(b, 1):
+        eq, shift = match.get(c, 0), most + 1 - j
+        eq = (eq << shift if shift >= 0 else eq >> -shift) & full
+        zero = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
+        up, down = minus | (full & ~(zero | plus)), plus & zero
+        if j + most <= m:
+            score += not zero & top
+            left = n - m + most
+        else:
+            at = m - j + most
+            score += (up >> at & 1) - (down >> at & 1)
+            left = n - j
+        if score - left > most:
+            return most + 1
+        plus, minus = down | (full & ~(zero >> 1 | up)), (zero >> 1) & up
+    return min(score, most + 1)
 
 
 def _resynced(a: list[str], b: list[str], most: int) -> bool:
@@ -339,12 +375,8 @@ def _resynced(a: list[str], b: list[str], most: int) -> bool:
 
 
 def similar(a: str, b: str, least: float) -> bool:
-    """Whether two lines in normal form are similar enough to link; see ``LONG_LINE``."""
-    longest = max(len(a), len(b))
-    if longest > LONG_LINE:
-        x, y = trigrams(a), trigrams(b)
-        return len(x & y) >= least * len(x | y)
-    most = int((1 - least) * longest + 1e-9)
+    """Whether two lines in normal form are similar enough to link."""
+    most = int((1 - least) * max(len(a), len(b)) + 1e-9)
     return _resynced(a.split(" "), b.split(" "), most) or edit_distance(a, b, most) <= most
 
 
@@ -630,7 +662,7 @@ def _links(found: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     short = members.join(small.select("key"), "key", "left_anti").repartition("key").sortWithinPartitions("key")
     forest = by_lists(short, _forest(similarity), "a long, b long, key long")
     # What ``_compatible`` asks of two lines with many words; its other conditions only save work.
-    bits = f"few or l_few or greatest(size, l_size) > {LONG_LINE} or bit_count(s1 ^ l_s1) + bit_count(s2 ^ l_s2) <= {DISTANCE}"
+    bits = f"few or l_few or bit_count(s1 ^ l_s1) + bit_count(s2 ^ l_s2) <= {DISTANCE}"
     stars = members.join(small, "key").where("lid <> lead").where(bits).select(F.col("lid").alias("a"), F.col("lead").alias("b"), F.lit(None).cast("long").alias("key"))
     forest = staged(forest.unionAll(stars), "line-forest")
     pairs = staged(forest.select("a", "b").distinct(), "line-pairs")
@@ -665,9 +697,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two lines link if their normal forms are equal, or if they share a key of
     ``block_keys`` (or of ``band_keys`` if ``wide``), differ in no more than
     ``DISTANCE`` SimHash bits (lines of ``BAND_WORDS`` words or more) and have
-    an edit similarity (1 - distance / longer length) of ``similarity`` or more. If
-    either has over ``LONG_LINE`` characters, the Jaccard similarity of their
-    word trigrams takes its place. Lines with fewer than ``min_words`` words
+    an edit similarity (1 - distance / longer length) of ``similarity`` or more,
+    whatever their length. Lines with fewer than ``min_words`` words
     stay or, if ``short``, link to lines of the same normal form; lines without
     any word always stay. Lines are told apart by 128-bit hashes, and links are
     kept by 64 bits of them. Null text stays null and has no lines; a text that
