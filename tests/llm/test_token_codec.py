@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidewell.llm import token_codec as codec
-from tidewell.llm.pieces import PartCache, encode_texts
+from tidewell.llm.pieces import ColumnCache, PartCache, encode_texts
 
 PATH = P.path("word_bpe_49k.json")
 
@@ -85,3 +85,17 @@ def test_nulls_repeats_order_and_clashing_columns(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert codec.write_token_files(docs, PATH, 2).digests().count() == 0
+
+
+def test_column_cache_gives_the_ids_of_the_library(tokenizer):
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rnd = random.Random(2)
+    words = ["plain", "Éàíß", "ÿÀÖ", "x" * 120, "é" * 60, "word,", "çà.", "12a", "漢字", "a,,", "", "É.x", "don't"] + ["".join(rnd.choices("abcdeàíÿß", k=rnd.randint(1, 9))) for _ in range(900)]
+    cache, asked = ColumnCache(lambda parts: asked.extend(parts.to_pylist()) or tokenizer.runs(parts), limit=300), []
+    for _ in range(6):
+        texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 200))) for _ in range(4)]
+        ids, bounds = encode_texts(pa.array(texts), cache, False)
+        assert len(cache.parts) <= 300 and len(cache.flat) == cache.lengths.sum()
+        for text, a, b in zip(texts, bounds, bounds[1:]):
+            assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(set(asked)) < len(asked) < 6 * len(words)  # some were held, some had to go

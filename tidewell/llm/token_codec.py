@@ -23,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .pieces import PartCache, encode_texts
+from .pieces import ColumnCache, encode_texts
 from .shared import scratch_path, staged, steps
 
 MAGIC = b"TWRANS01"
@@ -230,7 +231,9 @@ class FileReader:
 
 # -- the tokenizer -----------------------------------------------------------
 
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)")
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+#: Words that go to the model as one text.
+GROUP = 256
 
 
 class WordTokenizer:
@@ -239,7 +242,8 @@ class WordTokenizer:
     Words of ASCII and Latin-1 letters, which its normalizer only lower-cases
     and its splitter leaves whole, go to the library's model in bulk, without
     the normalizer's alignments; the end-of-word marks say where each word's
-    ids end. Everything else takes the library's full path.
+    ids end. Everything else takes the library's full path. Parts stay in Arrow
+    columns, so only what the library takes becomes Python text.
     """
 
     def __init__(self, spec: str) -> None:
@@ -250,46 +254,64 @@ class WordTokenizer:
         size = self.full.get_vocab_size()
         self.ends = np.array([(self.full.id_to_token(n) or "").endswith("</w>") for n in range(size)])
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the byte-level alphabet writes as themselves
-        names = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
-        self.mapped = {c: "".join(names[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-        self.marks = {m: self._full([m])[0] for m in ",."} | {"": b""}
-
-    def _full(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.full.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of byte-mapped words, many at a time."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 256):
-            group = words[at : at + 256]
-            ids = np.array(self.bare.encode(" ".join(group), add_special_tokens=False).ids, np.uint32)
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) != len(group):
-                out += [np.array(self.bare.encode(w, add_special_tokens=False).ids, np.uint32).tobytes() for w in group]
-            else:
-                raw = ids.tobytes()
-                out += [raw[a:b] for a, b in zip([0, *stops], stops)]
-        return out
+        names = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
+        self.moved = [(chr(b), names[b]) for b in sorted(set("".join(map(chr, range(0xC0, 0x100))).lower().encode())) if b in names]
+        # Letters with one of these signs behind them are a word and the sign's only id.
+        self.marks = {m: int(ids[0]) for m in ",." for ids, n in [self._full([m])] if len(n) == 1 and n[0] == 1}
+
+    def _full(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, one after another, and how many each has."""
+        found = [e.ids for e in self.full.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, one after another, and how many each has; many words at a time."""
+        n = len(words)
+        edges = np.append(np.arange(0, n, GROUP), n).astype(np.int32)
+        flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for text, size in zip(pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), words), " ").to_pylist(), np.diff(edges).tolist()):
+            text = text.lower()
+            if not text.isascii():
+                text = text.encode().decode("latin-1")
+                for byte, name in self.moved:
+                    text = text.replace(byte, name)
+            ids = np.array(self.bare.encode(text, add_special_tokens=False).ids, np.uint32)
+            each = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(each) != size or each.sum() != len(ids):
+                found = [self.bare.encode(w, add_special_tokens=False).ids for w in text.split(" ")]
+                ids, each = np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, size)
+            flat.append(ids)
+            lengths.append(each)
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    def runs(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all parts, and where each part's begin and how many they are."""
+        short = pc.less(pc.binary_length(parts), 100)
+        places, flats, sizes = [], [], []
+        left = np.ones(len(parts), bool)
+        for mark in ("", *self.marks):
+            own = pc.and_(short, pc.match_substring_regex(parts, rf"\A{_LETTERS}{re.escape(mark)}\z")).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(own & left)
+            if not len(at):
+                continue
+            left[at] = False
+            words = parts.take(pa.array(at))
+            flat, each = self._words(pc.utf8_slice_codeunits(words, 0, -1) if mark else words)
+            if mark:
+                flat, each = np.insert(flat, np.cumsum(each), self.marks[mark]), each + 1
+            places.append(at)
+            flats.append(flat)
+            sizes.append(each)
+        at = np.flatnonzero(left)
+        flat, each = self._full(parts.take(pa.array(at)).to_pylist())
+        order, each = np.concatenate([*places, at]), np.concatenate([*sizes, each])
+        starts, lengths = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
+        starts[order], lengths[order] = np.cumsum(each) - each, each
+        return np.concatenate([*flats, flat]), starts, lengths
 
     def encode(self, parts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(parts)
-        names, places, marks, rest = [], [], [], []
-        for n, part in enumerate(parts):
-            if part.isascii() and part.isalpha() and len(part) < 100:
-                names.append(part.lower())
-                marks.append("")
-            elif (m := _WORD.fullmatch(part)) and len(part) < 100:
-                names.append(m[1].lower().translate(self.mapped))
-                marks.append(m[2])
-            else:
-                rest.append(n)
-                continue
-            places.append(n)
-        for n, mark, raw in zip(places, marks, self._words(names)):
-            out[n] = raw + self.marks[mark] if mark else raw
-        for n, raw in zip(rest, self._full([parts[n] for n in rest])):
-            out[n] = raw
-        return out
+        flat, starts, lengths = self.runs(pa.array(parts, pa.string()))
+        return [flat[a : a + n].tobytes() for a, n in zip(starts.tolist(), lengths.tolist())]
 
 
 #: A comma or full stop that may belong to a longer run of signs.
@@ -312,13 +334,13 @@ def simplified(texts: pa.Array) -> pa.Array:
 _tokenizers: dict[tuple[int, int], WordTokenizer] = {}
 
 
-def _tokenizer(spec: bytes) -> PartCache:
+def _tokenizer(spec: bytes) -> ColumnCache:
     """The worker's tokenizer, with a cache for one task."""
     key = (zlib.crc32(spec), len(spec))
     if key not in _tokenizers:
         _tokenizers.clear()
         _tokenizers[key] = WordTokenizer(spec.decode())
-    return PartCache(_tokenizers[key].encode)
+    return ColumnCache(_tokenizers[key].runs)
 
 
 def id_type(vocabulary: int) -> str:
