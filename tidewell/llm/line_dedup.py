@@ -627,7 +627,7 @@ def _rest(members: DataFrame, keys: DataFrame, long: DataFrame, roots: DataFrame
 
     Of ``long`` (key, lead) only lines outside the lead's part are compared with all others.
     """
-    parted = lambda rows: rows.join(roots, F.col("lid") == F.col("node"), "left").withColumn("part", F.coalesce("root", "lid")).drop("node", "root")
+    parted = lambda rows: rows.join(roots.hint("merge"), F.col("lid") == F.col("node"), "left").withColumn("part", F.coalesce("root", "lid")).drop("node", "root")
     rows = staged(parted(members.join(keys, "key")), "line-rest")
     # Lists of two have been compared, and of lists with the same lines one is enough.
     lists = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.sum(F.xxhash64("lid").cast("decimal(20,0)")).alias("mark"))
@@ -642,7 +642,7 @@ def _rest(members: DataFrame, keys: DataFrame, long: DataFrame, roots: DataFrame
     outer = rows.where("out").select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j")).select(task(chunk(F.col("outs")), F.col("j").cast("long")), F.lit(1).alias("side"), *_LINE, "part")
     inner = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i")).select(task(F.col("i").cast("long"), chunk(F.col("chunks"))), F.lit(0).alias("side"), *_LINE, "part")
     rows = staged(short.unionAll(outer).unionAll(inner), "line-tasks")
-    rows = rows.join(texts, "lid").select("task", "side", "part", *_LINE, "line").repartition("task").sortWithinPartitions("task")
+    rows = rows.join(texts.hint("merge"), "lid").select("task", "side", "part", *_LINE, "line").repartition("task").sortWithinPartitions("task")
     return by_lists(rows, _walk(similarity))
 
 
@@ -652,9 +652,10 @@ _LINE = ("lid", "size", "few", "s1", "s2")
 def _links(found: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """(node, root) for each line that is linked to another."""
     members = staged(_members(found.select(F.explode("keys").alias("key"), "lid")), "line-lists")
-    lines = members.select("lid").distinct().join(found.where("size is not null").select(*_LINE), "lid").dropDuplicates(["lid"])
+    # Sides that grow with the corpus are merged at any size, so that what a small input moves tells what a large one will.
+    lines = members.select("lid").distinct().join(found.where("size is not null").select(*_LINE).hint("merge"), "lid").dropDuplicates(["lid"])
     lines = staged(lines, "line-sketches")
-    members = staged(members.join(lines, "lid").select("key", *_LINE), "line-members")
+    members = staged(members.join(lines.hint("merge"), "lid").select("key", *_LINE), "line-members")
     long = members.groupBy("key").agg(F.count("*").alias("n"), F.min("lid").alias("lead")).where(F.col("n") > CHUNK)
     long = staged(long.join(lines.select(*(F.col(c).alias(f"l_{c}") for c in _LINE)), F.col("lead") == F.col("l_lid")).drop("n", "l_lid"), "long-lists")
     n_long = long.count()
@@ -668,7 +669,7 @@ def _links(found: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     pairs = staged(forest.select("a", "b").distinct(), "line-pairs")
     # All lines of lists at once: documents are read again, and moved, a single time.
     texts = _texts(lines.select("lid"), found, docs)
-    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
+    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")).hint("merge"), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")).hint("merge"), "b")
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
