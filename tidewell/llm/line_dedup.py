@@ -10,8 +10,8 @@ runs of seven bytes. Lines that meet and pass ``_compatible`` (a SimHash of
 the whole line, or for few words a bound on the edit distance) link if their
 edit similarity is high enough; one occurrence of each connected group stays.
 
-Rows are range-partitioned by (list, line), so a long list spreads over tasks,
-and most lists end there, as they hold one line. Of a list of up to ``CHUNK``
+Keys move as columns of bytes, and most lists end where these meet, as they
+hold one line. Of a list of up to ``CHUNK``
 lines a task finds a spanning forest of the compatible pairs; of a longer one
 each line is first paired with one that leads it. Only pairs whose texts were
 compared by edit distance count. Where a pair failed, the lines of the list are
@@ -57,6 +57,10 @@ BROADCAST_ROWS = 200_000
 SHORT_LIST = 8
 #: Lines of a list that one task compares at a time.
 CHUNK = 256
+#: Bits that are kept of a key, and keys that a task holds before it sends them on.
+KEY_BITS, HELD_KEYS = 48, 2_000_000
+#: Bits of the filter that finds the lines of lists in documents, at most, and lines in a segment of it.
+FILTER_BITS, FILTER_LINES = 1 << 30, 1 << 18
 #: Text bytes that one step holds at once, and bytes hashed at once.
 STEP_BYTES, PIECE = 2 << 20, 1 << 19
 
@@ -453,14 +457,14 @@ def _occurrences(docs: DataFrame, least_words: int, min_words: int, wide: bool)
                 first[np.unique(code, return_index=True)[1]] = True
                 first &= np.diff(offsets)[code] > 0
                 size = np.where(first, np.diff(offsets)[code], 0)
-                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[ragged(offsets[:-1][code], size)].view(np.int64)))
-                binary = pa.Array.from_buffers(pa.binary(), len(code), [None, pa.py_buffer((16 * np.arange(len(code) + 1)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(lk))])
+                packed = _low_bytes(keys[ragged(offsets[:-1][code], size)] >> _U(64 - KEY_BITS), KEY_BITS // 8)
+                lists = _binary(KEY_BITS // 8 * np.concatenate([[0], np.cumsum(size)]), packed)
+                binary = _binary(16 * np.arange(len(code) + 1), lk)
                 at = pa.array(code, mask=~first)
                 attributes = [pc.utf8_length(distinct).cast(pa.int64()).take(at), pa.array(few).take(at), *(pa.array(sketch[:, k].view(np.int64)).take(at) for k in (0, 1))]
                 yield pa.RecordBatch.from_arrays([part.column("d").take(doc), part.column("th").take(doc), pa.array(no.astype(np.int32)), binary, pa.array(lid), *attributes, lists], ["d", "th", "no", "lk", "lid", "size", "few", "s1", "s2", "keys"])
 
-    return docs.select("d", "th", F.coalesce("t", F.lit("")).alias("t")).mapInArrow(of, "d long, th long, no int, lk binary, lid long, size long, few boolean, s1 long, s2 long, keys array<long>")
+    return docs.select("d", "th", F.coalesce("t", F.lit("")).alias("t")).mapInArrow(of, "d long, th long, no int, lk binary, lid long, size long, few boolean, s1 long, s2 long, keys binary")
 
 
 def _line_keys(lines: pa.Array, min_words: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -478,29 +482,106 @@ def _line_keys(lines: pa.Array, min_words: int, wide: bool) -> tuple[np.ndarray,
     return words < BAND_WORDS, np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(lines)))]), keys[order], sketch
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    """The rows (key, lid) of lists that hold more than one line; a list that goes on in the next partition counts as such."""
+def _low_bytes(values: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` lowest bytes of each of ``values``, a row each, lowest first."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def _from_low_bytes(raw: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = raw.reshape(-1, width)
+    return out.view("<u8").reshape(-1)
+
+
+def _binary(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _packed(pids: int):
+    """(pid, base, deltas, lids) of each share of the keys: keys in ascending order as differences of as few bytes as
+    hold them, beginning with ``base``, and the lines that have them."""
+
+    def rows(keys: np.ndarray, lids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(keys)
+        keys, lids = keys[order], lids[order]
+        pid = (keys * _U(pids)) >> _U(KEY_BITS)
+        starts = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1]]))
+        bounds = np.append(starts, len(keys))
+        steps_ = np.diff(keys, prepend=keys[:1])
+        steps_[starts] = 0
+        width = (int(steps_.max()).bit_length() + 7) // 8 or 1
+        for at in range(0, len(starts), 1024):
+            some = bounds[at : at + 1025]
+            raw, own = _low_bytes(steps_[some[0] : some[-1]], width), lids[some[0] : some[-1]]
+            columns = [pa.array(pid[some[:-1]].astype(np.int32)), pa.array(keys[some[:-1]].astype(np.int64)), _binary(width * (some - some[0]), raw), _binary(8 * (some - some[0]), own)]
+            yield pa.RecordBatch.from_arrays(columns, ["pid", "base", "deltas", "lids"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        border = True  # the partition's first list may have begun before
+        held, n = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, lids = (batch.column(k).to_numpy() for k in (0, 1))
-            if held is not None:
-                keys, lids = np.append(held[0], keys), np.append(held[1], lids)
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (lids[1:] != lids[:-1])])
-            keys, lids = keys[new], lids[new]
-            same = keys[1:] == keys[:-1]
-            shared = np.concatenate([[border], same]) | np.append(same, False)
-            # The last row waits for the next batch; that it has a fellow here is remembered.
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:-1][shared[:-1]]), pa.array(lids[:-1][shared[:-1]])], ["key", "lid"])
-            held, border = (keys[-1:], lids[-1:]), bool(shared[-1])
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], ["key", "lid"])
-
-    return rows.repartitionByRange("key", "lid").sortWithinPartitions("key", "lid").mapInArrow(of, "key long, lid long")
+            lid, lists = (batch.column(k) for k in (0, 1))
+            data, bounds = text_bytes(lists)
+            held.append((_from_low_bytes(data, KEY_BITS // 8), np.repeat(lid.to_numpy(), np.diff(bounds) // (KEY_BITS // 8))))
+            n += len(held[-1][0])
+            if n >= HELD_KEYS:
+                yield from rows(*(np.concatenate(x) for x in zip(*held)))
+                held, n = [], 0
+        if n:
+            yield from rows(*(np.concatenate(x) for x in zip(*held)))
+
+    return of
+
+
+def _shared(key: np.ndarray, lid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (key, lid) of keys that more than one line has."""
+
+    def twice(sorted_: np.ndarray) -> np.ndarray:
+        same = sorted_[1:] == sorted_[:-1]
+        return np.append(False, same) | np.append(same, False)
+
+    order = np.argsort(key)
+    order = order[twice(key[order])]
+    key, lid = key[order], lid[order]
+    order = np.lexsort((lid, key))
+    key, lid = key[order], lid[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (lid[1:] != lid[:-1])
+    key, lid = key[new], lid[new]
+    if len(key):
+        more = twice(key)
+        key, lid = key[more], lid[more]
+    return key, lid
+
+
+def _members(found: DataFrame) -> DataFrame:
+    """The rows (key, lid) of lists that hold more than one line.
+
+    Keys move as columns of bytes, a row for each task and share of the keys, and each share is sorted in a task.
+    """
+    pids = min(1 << 15, 4 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            key, lid = _shared(*(np.concatenate(x) for x in zip(*held)))
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(lid)], ["key", "lid"])
+
+        for batch in batches:
+            (deltas, at), (lids, to) = (text_bytes(batch.column(k)) for k in (2, 3))
+            for n, (pid, base) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(_U))):
+                if pid != last and held:
+                    yield from out()
+                    held = []
+                own = lids[to[n] : to[n + 1]].view(np.int64)
+                held.append((base + np.cumsum(_from_low_bytes(deltas[at[n] : at[n + 1]], int(at[n + 1] - at[n]) // len(own)), dtype=_U), own))
+                last = pid
+        if held:
+            yield from out()
+
+    rows = found.where("octet_length(keys) > 0").select("lid", "keys").mapInArrow(_packed(pids), "pid int, base long, deltas binary, lids binary")
+    return rows.repartition("pid").sortWithinPartitions("pid").mapInArrow(of, "key long, lid long")
 
 
 def _attributes(size: np.ndarray, few: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
@@ -535,24 +616,64 @@ def _forest(similarity: float):
     return walk
 
 
-def _texts(lids: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(lid, line) of each of ``lids`` (lid), read again from where the line first occurs."""
-    few = lids.count() <= BROADCAST_ROWS
-    small = lambda df: F.broadcast(df) if few else df
-    places = found.select("d", "th", "no", "lid").join(small(lids), "lid").groupBy("lid").agg(F.min(F.struct("d", "th", "no")).alias("p"))
-    wanted = places.groupBy("p.d", "p.th").agg(F.sort_array(F.collect_list(F.struct("p.no", "lid"))).alias("w"))
-    wanted = staged(wanted, "line-places")
+def _places(lid: np.ndarray, segments: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segment of each line in the filter, and its two bits there."""
+    mixed = _mixed(lid.view(_U))
+    at = np.stack([mixed >> _U(32), _mixed(mixed) >> _U(32)])
+    return ((mixed & _U(0xFFFFFFFF)) * _U(segments) >> _U(32)).astype(np.int64), (at * _U(bits) >> _U(32)).astype(np.int64)
+
+
+def _filter(lids: DataFrame) -> tuple[list[bytes], int]:
+    """A Bloom filter of ``lids`` in segments, made in a task each, and the bits of a segment.
+
+    It has 10 bits for each line; over ``FILTER_BITS`` it lets more other lines pass.
+    """
+    n = lids.count()
+    segments = n // FILTER_LINES + 1
+    bits = max(64, min(10 * n, FILTER_BITS) // segments + 7 & ~7)
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lid = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_places(lid, segments, bits)[0])], ["lid", "segment"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[int, np.ndarray] = {}
+        for batch in batches:
+            own, places = _places(batch.column(0).to_numpy(), segments, bits)
+            for k in np.unique(own).tolist():
+                maps.setdefault(k, np.zeros(bits, bool))[places[:, own == k]] = True
+        if maps:
+            yield pa.RecordBatch.from_arrays([pa.array(list(maps)), pa.array([np.packbits(x).tobytes() for x in maps.values()], pa.binary())], ["segment", "bits"])
+
+    rows = lids.mapInArrow(segment, "lid long, segment long").repartition("segment").mapInArrow(of, "segment long, bits binary").collect()
+    found = [bytes(bits // 8)] * segments
+    for row in rows:
+        found[row.segment] = bytes(row.bits)
+    return found, bits
+
+
+def _texts(lids: DataFrame, docs: DataFrame, least_words: int) -> DataFrame:
+    """(lid, line) of each of ``lids`` (lid), and of some other lines. Documents are read again where they lie:
+    a filter of the wanted lines goes to them, and lines alone are moved."""
+    segments, bits = _filter(lids)
+    sent = docs.sparkSession.sparkContext.broadcast((segments, bits))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments, bits = sent.value
+        table = np.frombuffer(b"".join(segments), np.uint8)
         for batch in batches:
             for part in steps(batch, "t", STEP_BYTES):
-                lines, counts = normal_lines(part.column("t"))
-                w = part.column("w")
-                at = np.repeat(np.cumsum(counts) - counts, pc.list_value_length(w).to_numpy())
-                flat = w.flatten()
-                yield pa.RecordBatch.from_arrays([flat.field("lid"), lines.take(pa.array(at + flat.field("no").to_numpy()))], ["lid", "line"])
-
-    texts = docs.join(small(wanted), ["d", "th"]).select("t", "w").mapInArrow(of, "lid long, line string")
+                lines, _ = normal_lines(part.column("t"))
+                words = pc.add(pc.count_substring(lines, " "), 1)
+                lines = lines.filter(pc.and_(pc.not_equal(lines, ""), pc.greater_equal(words, least_words))).dictionary_encode().dictionary
+                lid = np.frombuffer(b"".join(x[:8] for x in map(xxhash.xxh3_128_digest, lines.cast(pa.binary()).to_pylist())), np.int64)
+                own, places = _places(lid, len(segments), bits)
+                at = own * bits + places
+                wanted = np.flatnonzero((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=0))
+                yield pa.RecordBatch.from_arrays([pa.array(lid[wanted]), lines.take(pa.array(wanted))], ["lid", "line"])
+
+    texts = docs.select(F.coalesce("t", F.lit("")).alias("t")).mapInArrow(of, "lid long, line string")
     return staged(texts.dropDuplicates(["lid"]), "line-texts")
 
 
@@ -649,9 +770,9 @@ def _rest(members: DataFrame, keys: DataFrame, long: DataFrame, roots: DataFrame
 _LINE = ("lid", "size", "few", "s1", "s2")
 
 
-def _links(found: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def _links(found: DataFrame, docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """(node, root) for each line that is linked to another."""
-    members = staged(_members(found.select(F.explode("keys").alias("key"), "lid")), "line-lists")
+    members = staged(_members(found), "line-lists")
     # Sides that grow with the corpus are merged at any size, so that what a small input moves tells what a large one will.
     lines = members.select("lid").distinct().join(found.where("size is not null").select(*_LINE).hint("merge"), "lid").dropDuplicates(["lid"])
     lines = staged(lines, "line-sketches")
@@ -667,8 +788,8 @@ def _links(found: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     stars = members.join(small, "key").where("lid <> lead").where(bits).select(F.col("lid").alias("a"), F.col("lead").alias("b"), F.lit(None).cast("long").alias("key"))
     forest = staged(forest.unionAll(stars), "line-forest")
     pairs = staged(forest.select("a", "b").distinct(), "line-pairs")
-    # All lines of lists at once: documents are read again, and moved, a single time.
-    texts = _texts(lines.select("lid"), found, docs)
+    # All lines of lists at once: documents are read again a single time.
+    texts = _texts(lines.select("lid"), docs, min_words)
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")).hint("merge"), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")).hint("merge"), "b")
 
     @F.pandas_udf("boolean")
@@ -712,7 +833,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d, th = F.coalesce(id_.cast("long"), F.lit(-(1 << 63))), F.xxhash64(id_.isNull(), text)
     keyed = docs.select(d.alias("d"), th.alias("th"), text.alias("t"))
     found = staged(_occurrences(keyed, 1 if short else min_words, min_words, wide), "line-occurrences")
-    roots = _links(found, keyed, similarity)
+    roots = _links(found, keyed, min_words, similarity)
     lines = found.groupBy("lk", "lid").agg(F.min(F.struct("d", "th", "no")).alias("first"), F.count("*").alias("n"))
     classes = lines.join(roots, F.col("lid") == F.col("node"), "left").where("n > 1 or root is not null")
     # A line without links is its own class, told by all bits of its hash.

@@ -18,6 +18,8 @@ STEP_BYTES = 4 << 20
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Folders written so far, each with the owner it was written for.
 _scratch: list[tuple[str | None, str]] = []
 _owner: str | None = None
@@ -62,10 +64,17 @@ def scratch_owner(name: str) -> Iterator[None]:
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
-    and a lost executor costs no recomputation of what stands before."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    and a lost executor costs no recomputation of what stands before. What the
+    write has shuffled is deleted at its end, as it is not read again."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release_scratch(spark: SparkSession, owner: str) -> None:
