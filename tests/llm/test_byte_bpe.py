@@ -75,3 +75,18 @@ def test_ordinary_text_goes_through_joins(ranks, library):
     fresh = byte_bpe.ByteBpe(ranks, P.PATTERN)
     fresh.piece(rare[0])
     assert fresh.joins + 1 >= len(set(rare[0]))  # halves down to single bytes; equal halves are remembered
+
+
+def test_pieces_in_use_stay_when_others_fill_the_memory(ranks, library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO", 40)
+    model, rnd = byte_bpe.ByteBpe(ranks, P.PATTERN), random.Random(6)
+    hot, again = "qzxvkjwqyz", 0
+    assert hot.encode() not in ranks
+    for n in range(400):
+        word = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyzéß", k=rnd.randint(3, 30)))
+        assert model.encode(word) == library.encode_ordinary(word)
+        before = model.joins
+        assert model.encode(hot) == library.encode_ordinary(hot)
+        again += (model.joins > before) * (n > 0)
+    assert again == 0
+    assert max(map(len, (model.pairs, model.windows, model.pieces, model.older))) <= 40

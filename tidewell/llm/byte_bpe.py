@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from .pieces import PartCache, encode_texts
 from .shared import steps
 
-#: Encodings of byte strings up to this length are remembered, so many for each encoder at most.
-MEMO_BYTES, MEMO = 24, 100_000
+#: Encodings of pieces and windows up to this length are remembered, and so many of each kind at most.
+MEMO_BYTES, MEMO = 24, 120_000
+#: Halves of a piece up to this length are.
+HALF_BYTES = 8
 #: A space that follows other white space; cutting there could change how the pattern matches.
 _UNSAFE = regex.compile(r"[\s\x1c-\x1f\x85] ")
 
@@ -53,8 +55,13 @@ class ByteBpe:
             if len(value) > 1:
                 parts = self._merge(value, 2)
                 self.first_of[rank], self.last_of[rank] = parts[0], parts[-1]
-        self.nodes: dict[bytes, list[int]] = {}
-        self.windows: dict[bytes, list[int]] = {}
+        # Tuples of numbers, which the garbage collector does not walk again and again.
+        self.leaves = {bytes([n]): (ranks[bytes([n])],) for n in range(256) if bytes([n]) in ranks}
+        self.nodes: dict[bytes, tuple[int, ...]] = dict(self.leaves)
+        self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
+        self.windows: dict[bytes, tuple[int, ...]] = {}
+        self.pairs: dict[int, tuple[int, ...]] = {}
         self.joins = 0
 
     def stable(self, left: int, right: int) -> bool:
@@ -92,54 +99,95 @@ class ByteBpe:
 
     def _merged(self, data: bytes) -> list[int]:
         """Encoding of a window by merges alone, without looking up ``data`` as a whole."""
+        return list(self._window(data))
+
+    def _window(self, data: bytes) -> tuple[int, ...]:
         known = self.windows.get(data)
         if known is None:
-            known = self._merge(data)
+            known = tuple(self._merge(data))
             if len(data) <= MEMO_BYTES:
                 if len(self.windows) >= MEMO:
                     self.windows.clear()
                 self.windows[data] = known
         return known
 
+    def _pair(self, left: int, right: int) -> tuple[int, ...]:
+        """What two tokens side by side encode to: nothing if they stay, else the encoding of their bytes."""
+        known = self.pairs.get(left << 32 | right)
+        if known is None:
+            known = () if self.stable(left, right) else tuple(self._merge(self.bytes_of[left] + self.bytes_of[right]))
+            if len(self.pairs) >= MEMO:
+                self.pairs.clear()
+            self.pairs[left << 32 | right] = known
+        return known
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the joined bytes, from the encodings of both sides."""
+        return list(self._join(tuple(left), tuple(right)))
+
+    def _join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         if not left or not right:
             return left or right
         self.joins += 1
-        if self.stable(left[-1], right[0]):
+        window = self.pairs.get(left[-1] << 32 | right[0])
+        if window is None:
+            window = self._pair(left[-1], right[0])
+        if not window:
             return left + right
         a = b = 1
         while True:
-            window = self._merged(b"".join(self.bytes_of[t] for t in (*left[len(left) - a :], *right[:b])))
-            grow_left = a < len(left) and not self.stable(left[len(left) - a - 1], window[0])
-            grow_right = b < len(right) and not self.stable(window[-1], right[b])
+            grow_left = a < len(left) and self._pair(left[len(left) - a - 1], window[0])
+            grow_right = b < len(right) and self._pair(window[-1], right[b])
             if not grow_left and not grow_right:
                 return left[: len(left) - a] + window + right[b:]
             a, b = min(len(left), 2 * a if grow_left else a), min(len(right), 2 * b if grow_right else b)
+            window = self._window(b"".join(self.bytes_of[t] for t in (*left[len(left) - a :], *right[:b])))
 
     def tree(self, data: bytes) -> list[int]:
         """Encode by halves, down to leaves. What a lookup of the whole would give is for ``piece``."""
+        return list(self._tree(data))
+
+    def _tree(self, data: bytes) -> tuple[int, ...]:
         if len(data) <= self.leaf_bytes:
-            return self._merged(data) if len(data) > 1 else [self.ranks[data]] if data else []
-        if (known := self.nodes.get(data)) is not None:
-            return known
-        half = len(data) // 2
-        out = self.join(self.tree(data[:half]), self.tree(data[half:]))
-        if len(data) <= MEMO_BYTES:
+            return self._window(data) if len(data) > 1 else (self.ranks[data],) if data else ()
+        get, half = self.nodes.get, len(data) // 2
+        left, right = data[:half], data[half:]
+        return self._join(get(left) or self._half(left), get(right) or self._half(right))
+
+    def _half(self, data: bytes) -> tuple[int, ...]:
+        """The tree of a half, which is remembered: there are fewer of them than of whole pieces."""
+        out = self._tree(data)
+        if len(data) <= HALF_BYTES:
             if len(self.nodes) >= MEMO:
-                self.nodes.clear()
+                self.nodes = dict(self.leaves)
             self.nodes[data] = out
         return out
 
     def piece(self, data: bytes) -> list[int]:
         """One match of the pattern: the vocabulary's own token if it has one, else the tree."""
         rank = self.ranks.get(data)
-        return self.tree(data) if rank is None else [rank]
+        return list(self._whole(data)) if rank is None else [rank]
+
+    def _whole(self, data: bytes) -> tuple[int, ...]:
+        """The tree of a piece that is no token; two generations of pieces are remembered, and what is in use stays."""
+        known = self.pieces.get(data)
+        if known is None:
+            known = self.older.get(data) or self._tree(data)
+            if len(data) <= MEMO_BYTES:
+                if len(self.pieces) >= MEMO // 2:
+                    self.older, self.pieces = self.pieces, {}
+                self.pieces[data] = known
+        return known
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for match in self.pattern.finditer(text):
-            out += self.piece(match[0].encode("utf-8", "surrogatepass"))
+        ranks, get = self.ranks, self.pieces.get
+        for match in self.pattern.findall(text) if not self.pattern.groups else [m[0] for m in self.pattern.finditer(text)]:
+            data = match.encode("utf-8", "surrogatepass")
+            if (rank := ranks.get(data)) is not None:
+                out.append(rank)
+            else:
+                out += get(data) or self._whole(data)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
