@@ -2,7 +2,9 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidewell.llm import line_dedup, shared
@@ -76,3 +78,23 @@ def test_staged_deletes_what_it_shuffled(spark):
 def _blocks(spark, manager):
     blocks = manager.diskBlockManager().getAllBlocks()
     return [blocks.apply(n) for n in range(blocks.size())]
+
+
+def test_only_lines_of_lists_are_sketched(spark):
+    docs = spark.createDataFrame([(1, 2, "one two three four five six\nseven")], "d long, th long, t string")
+    assert line_dedup._occurrences(docs, 1, 5, True).columns == ["d", "th", "no", "lk", "lid", "keys"]
+    line = "one two three four five six"
+    lid = int.from_bytes(xxhash.xxh3_128_digest(line.encode())[:8], "little", signed=True)
+    (row,) = line_dedup._texts(spark.createDataFrame([(lid,)], "lid long"), docs, 5).where(F.col("lid") == lid).collect()
+    sketch = line_dedup.block_keys(pa.array([line]))[2].view(np.int64)[0].tolist()
+    assert tuple(row) == (lid, len(line), True, *sketch, line)
+
+
+def test_links_found_later_join_the_roots(spark):
+    rnd = random.Random(5)
+    first, later = ([(rnd.randrange(m), rnd.randrange(m)) for _ in range(n)] for m, n in ((300, 90), (400, 60)))
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = line_dedup._merged(shared.connected_components(frame(first)), frame(later)).collect()
+    want = shared.connected_components(frame(first + later)).collect()
+    assert {tuple(r) for r in got if r.node != r.root} == {tuple(r) for r in want if r.node != r.root}
+    assert len({r.node for r in got}) == len(got)

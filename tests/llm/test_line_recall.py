@@ -105,3 +105,26 @@ def test_lines_of_any_length_link_by_edit_similarity(monkeypatch):
         assert min(line_dedup.edit_distance(a, b, most), most + 1) == min(want, most + 1)
         if most < len(a):
             assert line_dedup._banded(a, b, most) == min(want, most + 1)
+
+
+def test_many_edit_distances_equal_single_ones(monkeypatch):
+    rnd, lines = random.Random(11), ["", "x"]
+    for _ in range(150):
+        x = rnd.choices("abcdeé漢 \U0001f600", k=max(1, rnd.choice([1, 5, 64, 65, 128, 300, 1200]) - rnd.randrange(3)))
+        y = list(x)
+        for _ in range(rnd.randint(0, len(x) // 4 + 1)):
+            at = rnd.randrange(len(y) + 1)
+            y[at : at + rnd.randrange(2)] = rnd.choices("abz ", k=rnd.randrange(2))
+        lines += ["".join(x), "".join(y)]
+    i = np.array([*range(0, len(lines), 2), *(rnd.randrange(len(lines)) for _ in range(100))])
+    j = np.array([*range(1, len(lines), 2), *(rnd.randrange(len(lines)) for _ in range(100))])
+    long = np.array([max(len(lines[a]), len(lines[b])) for a, b in zip(i, j)])
+    want = np.array([line_dedup.edit_distance(lines[a], lines[b], 10_000) for a, b in zip(i, j)])
+    for table, longest in ((line_dedup.TABLE_BYTES, line_dedup.BATCHED), (1 << 16, 500)):
+        monkeypatch.setattr(line_dedup, "TABLE_BYTES", table)
+        monkeypatch.setattr(line_dedup, "BATCHED", longest)
+        for least in (0.0, 0.6, 0.8, 0.95):
+            most = ((1 - least) * long + 1e-9).astype(int)
+            assert (np.minimum(line_dedup.edit_distances(lines, i, j, most), most + 1) == np.minimum(want, most + 1)).all()
+        pairs = [line_dedup.similar(lines[a], lines[b], 0.8) for a, b in zip(i, j)]
+        assert line_dedup.similar_pairs(lines, i, j, 0.8).tolist() == pairs

@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -103,40 +102,59 @@ def _unique(sorted_: np.ndarray) -> np.ndarray:
 
 def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Line, hash and bytes of each word of normal lines; ``bounds`` are the lines' places in ``data``."""
-    spaces = np.flatnonzero(data == 32)
-    starts = np.concatenate([bounds[:-1][bounds[1:] > bounds[:-1]], spaces + 1])
-    starts.sort()
-    line = np.searchsorted(bounds[1:], starts, side="right")
-    stops = np.append(starts[1:], len(data))
+    first = np.zeros(len(data) + 1, bool)
+    first[bounds[:-1][bounds[1:] > bounds[:-1]]] = True
+    first[1:] |= data == 32
+    starts = np.flatnonzero(first[:-1])
+    stops = np.append(starts[1:], len(data))[: len(starts)]
+    line = np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(starts, bounds)))
+    size = stops - starts - (data[stops - 1] == 32)
+    # A byte of every word at a time, the longest words first.
+    order = np.argsort(-np.minimum(size, len(_PLACE)).astype(np.int16), kind="stable")
+    live = len(order) - np.cumsum(np.bincount(size[size <= len(_PLACE)], minlength=len(_PLACE) + 1))[: len(_PLACE)]
+    at, sums = starts[order], np.zeros(len(order), _U)
+    for n, words in enumerate(live.tolist()):
+        if not words:
+            break
+        sums[:words] += data[at[:words] + n] * _PLACE[n]
     hashes = np.empty(len(starts), _U)
-    at = 0
-    while at < len(starts):
-        base = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(stops, base + PIECE, side="right")))
-        if to > at + 1 or stops[at] - base <= PIECE:
-            piece = data[base : stops[to - 1]]
-            place = np.arange(len(piece), dtype=np.int32) - np.repeat((starts[at:to] - base).astype(np.int32), stops[at:to] - starts[at:to])
-            votes = _PLACE[place & 1023] * piece
-            votes[piece == 32] = 0
-            hashes[at:to] = np.add.reduceat(votes, starts[at:to] - base)
-        at = to
+    hashes[order] = sums
     for n in np.flatnonzero(stops - starts > len(_PLACE)):  # a place recurs in longer words, so these are hashed alone
         hashes[n] = xxhash.xxh64_intdigest(data[starts[n] : stops[n]].tobytes().rstrip(b" "), 5)
-    return line, _mixed(hashes), stops - starts - (data[stops - 1] == 32)
+    return line, _mixed(hashes), size
 
 
 def _majority(votes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """SimHash of each run of ``votes``: the bits set in over half. Bit counters are kept in planes, one vote of every run at a time."""
+    """SimHash of each run of ``votes``: the bits set in over half. Bit counters are kept in planes, one vote of every run
+    at a time; three values of a plane add up to one of it and one of the next."""
     order = np.argsort(-counts, kind="stable")
     counts, starts = counts[order], starts[order]
     planes = [np.zeros(len(counts), _U) for _ in range(int(counts[0]).bit_length())]
+    waiting: list[list[np.ndarray]] = [[] for _ in range(len(planes) + 1)]
     live = np.searchsorted(-counts, -np.arange(1, counts[0] + 1), side="right")
+
+    def add(values: list[np.ndarray]) -> np.ndarray:
+        """The carry of values that come by falling length; what stays goes into the first."""
+        carry = values[0][: len(values[1])] & values[1]
+        values[0][: len(values[1])] ^= values[1]
+        for more in values[2:]:
+            carry[: len(more)] |= values[0][: len(more)] & more
+            values[0][: len(more)] ^= more
+        return carry
+
     for n, runs in enumerate(live.tolist()):
-        carry = votes[starts[:runs] + n]
-        for plane in planes[: (n + 1).bit_length()]:
-            own = plane[:runs]
-            own ^= carry
-            carry = carry & ~own
+        waiting[0].append(votes[starts[:runs] + n])
+        k = 0
+        while len(waiting[k]) == 3:
+            waiting[k + 1].append(add(waiting[k]))
+            waiting[k][1:] = []
+            k += 1
+    for k, plane in enumerate(planes):
+        values = sorted(waiting[k], key=len, reverse=True)
+        if len(values) > 1:
+            waiting[k + 1].append(add(values))
+        if values:
+            plane[: len(values[0])] = values[0]
     half = counts // 2
     over, same = np.zeros(len(counts), _U), np.full(len(counts), ~_U(0))
     for k in reversed(range(len(planes))):
@@ -170,25 +188,45 @@ def _voters(line: np.ndarray, hashes: np.ndarray, size: np.ndarray, n: int, min_
 def block_keys(lines: pa.Array, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, key) pairs: lines share a key if they agree in enough blocks of a layout. Then each line's sketch for
     ``_compatible``. Lines are in normal form."""
-    found, sketches = [(np.zeros(0, np.int64), np.zeros(0, _U))], [np.zeros((0, 2), _U)]
+    return *_only_keys(lines, min_words), line_sketches(lines, min_words)
+
+
+def _only_keys(lines: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    found = [(np.zeros(0, np.int64), np.zeros(0, _U))]
+    for at, data, bounds in _pieces(lines):
+        number, key = _piece_keys(*_piece_votes(_words(data, bounds), len(bounds) - 1, min_words))
+        found.append((number + at, key))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def line_sketches(lines: pa.Array, min_words: int = MIN_WORDS) -> np.ndarray:
+    """A row for each line in normal form: what ``_compatible`` compares."""
+    found = [np.zeros((0, 2), _U)]
+    for _, data, bounds in _pieces(lines):
+        words, n = _words(data, bounds), len(bounds) - 1
+        _, _, votes, size = _piece_votes(words, n, min_words)
+        found.append(_sketches(data, bounds, np.bincount(words[0], minlength=n) < BAND_WORDS, votes, size))
+    return np.concatenate(found)
+
+
+def _pieces(lines: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of lines of about ``PIECE`` bytes: number of the first, bytes and bounds."""
     bounds = text_bytes(lines)[1] if len(lines) else np.zeros(1, np.int64)
     at = 0
     while at < len(lines):
         to = max(at + 1, int(np.searchsorted(bounds[1:], bounds[at] + PIECE, side="right")))
-        number, key, sketch = _piece_keys(*text_bytes(lines.slice(at, to - at)), min_words)
-        found.append((number + at, key))
-        sketches.append(sketch)
+        yield at, *text_bytes(lines.slice(at, to - at))
         at = to
-    return *(np.concatenate(x) for x in zip(*found)), np.concatenate(sketches)
 
 
-def _piece_keys(data: np.ndarray, bounds: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(bounds) - 1
-    words = _words(data, bounds)
+def _piece_votes(words: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Line, hash and vote of each voter of ``n`` lines, and how many voters each line has."""
     voters = _voters(*words, n, min_words)
     line, hashes = (voters >> _U(_HASH_BITS)).astype(np.int64), voters & _U((1 << _HASH_BITS) - 1)
-    votes, size = _mixed(hashes), np.bincount(line, minlength=n)
-    sketch = _sketches(data, bounds, np.bincount(words[0], minlength=n) < BAND_WORDS, votes, size)
+    return line, hashes, _mixed(hashes), np.bincount(line, minlength=n)
+
+
+def _piece_keys(line: np.ndarray, hashes: np.ndarray, votes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     numbers, keys = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
     for low, high, blocks, agree in layouts(int(size.max(initial=0))):
         own = (size >= low) & (size <= high)
@@ -217,7 +255,7 @@ def _piece_keys(data: np.ndarray, bounds: np.ndarray, min_words: int) -> tuple[n
                 key = _mixed(key ^ grid[full, b]) + key * _U(31)
             numbers.append(lines[full])
             keys.append(_mixed(key))
-    return np.concatenate(numbers), np.concatenate(keys), sketch
+    return np.concatenate(numbers), np.concatenate(keys)
 
 
 def _sketches(data: np.ndarray, bounds: np.ndarray, few: np.ndarray, votes: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -386,8 +424,9 @@ def similar(a: str, b: str, least: float) -> bool:
 
 #: Characters of a line that ``distance_bounds`` aligns, and the most that a line may have to be aligned at all.
 HEAD, ALIGNED = 64, 512
-#: Pairs that are aligned at a time.
-PAIRS = 4096
+#: Pairs that are aligned at a time, pairs of a list that are compared before others are looked at, and bytes of pairs
+#: that are compared at once.
+PAIRS, LINKED, PAIR_BYTES = 4096, 4096, 16 << 20
 
 
 def distance_bounds(lines: list[str], i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
@@ -395,12 +434,13 @@ def distance_bounds(lines: list[str], i: np.ndarray, j: np.ndarray, least: float
 
     The first ``HEAD`` characters of one line are aligned with every beginning of the other, in bit-parallel columns of
     many pairs at once; what is left costs at least its difference in length. Characters are told apart by seven bits,
-    which can only lower the distance, so a pair that passes has to be compared in full. Lines longer than ``ALIGNED`` pass.
+    which can only lower the distance, so a pair that passes has to be compared in full. Lines longer than ``ALIGNED`` pass,
+    and pairs that may differ in about as many characters as a head has, since next to none of them would be rejected.
     """
     out = np.ones(len(i), bool)
     size = np.array([len(x) for x in lines], np.int64)
     most = ((1 - least) * np.maximum(size[i], size[j]) + 1e-9).astype(np.int64)
-    own = np.flatnonzero((np.maximum(size[i], size[j]) <= ALIGNED) & (np.minimum(size[i], size[j]) > 0))
+    own = np.flatnonzero((np.maximum(size[i], size[j]) <= ALIGNED) & (np.minimum(size[i], size[j]) > 0) & (most < HEAD - HEAD // 8))
     own = own[np.argsort(size[j[own]], kind="stable")]
     for at in range(0, len(own), PAIRS):
         some = own[at : at + PAIRS]
@@ -409,34 +449,204 @@ def distance_bounds(lines: list[str], i: np.ndarray, j: np.ndarray, least: float
         width = int(size[used].max())
         coded = "".join(lines[k].ljust(width) for k in used.tolist()).encode("utf-32-le", "surrogatepass")
         wide = np.frombuffer(coded, np.uint32).reshape(len(used), width)
-        codes = ((wide ^ (wide >> 7)) & 127).astype(np.int64)
-        match = np.zeros((len(used), 128), _U)
+        codes = (wide ^ (wide >> 7)) & 127
+        present = np.bincount(codes.reshape(-1), minlength=128) > 0  # a small table stays in the processor's cache
+        codes = (np.cumsum(present) - 1)[codes]
+        chars = int(present.sum())
+        match = np.zeros(len(used) * chars, _U)
         heads, rows = np.minimum(size[used], HEAD), np.arange(len(used))
-        for k in range(min(width, HEAD)):
+        for k in range(min(width, HEAD)):  # the last row of each head is the highest bit
             has = rows[heads > k]
-            match[has, codes[has, k]] |= _U(1 << k)
+            match[has * chars + codes[has, k]] |= _U(1) << (64 - heads[has] + k).astype(_U)
         m, lx, ly = heads[x], size[used][x], size[used][y]
-        top = (m - 1).astype(_U)
-        plus, minus, score = np.full(len(some), ~_U(0)), np.zeros(len(some), _U), m.copy()
-        best = m + np.abs(lx - m - ly)
+        plus, minus, score = ~_U(0) << (64 - m).astype(_U), np.zeros(len(some), _U), m.copy()
+        best, rest, first = m + np.abs(lx - m - ly), lx - m - ly + 1, x * chars
+        columns = np.ascontiguousarray(codes.T)
         for k in range(int(np.minimum(ly, m + most[some]).max())):
-            eq = match[x, codes[y, k]]
-            zero = (((eq & plus) + plus) ^ plus) | eq | minus
-            up, down = minus | ~(zero | plus), plus & zero
-            score += ((up >> top) & _U(1)).astype(np.int64) - ((down >> top) & _U(1)).astype(np.int64)
-            up, down = (up << _U(1)) | _U(1), down << _U(1)
-            plus, minus = down | ~(zero | up), up & zero
-            left = score + np.abs((lx - m) - (ly - k - 1))
-            best = np.where((left < best) & (k < ly), left, best)
+            eq = match.take(first + columns[k].take(y))
+            zero = eq & plus
+            zero += plus
+            zero ^= plus
+            zero |= eq
+            zero |= minus
+            up = zero | plus
+            np.invert(up, out=up)
+            up |= minus
+            plus &= zero
+            score += (up >> _U(63)).view(np.int64)
+            score -= (plus >> _U(63)).view(np.int64)
+            up <<= _U(1)
+            up |= _U(1)
+            plus <<= _U(1)
+            np.bitwise_and(up, zero, out=minus)
+            up |= zero
+            np.invert(up, out=up)
+            plus |= up
+            left = np.abs(rest + k)
+            left += score
+            np.minimum(best, left, out=best, where=ly > k)
         out[some] = best <= most[some]
     return out
 
 
+#: Longer lines are compared one pair at a time, and bytes that the tables of a batch of pairs may take.
+BATCHED, TABLE_BYTES = 4096, 24 << 20
+
+
+def edit_distances(lines: list[str], i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """``edit_distance`` of many pairs of ``lines`` at once; anything above ``most`` may come back as more than it."""
+    out = np.empty(len(i), np.int64)
+    size = np.array([len(x) for x in lines], np.int64)
+    swap = size[i] > size[j]  # the shorter line is cut into words of 64 rows
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    alone = size[j] > BATCHED
+    for n in np.flatnonzero(alone).tolist():
+        out[n] = edit_distance(lines[i[n]], lines[j[n]], int(most[n]))
+    own = np.flatnonzero(~alone)
+    a, b = [], []
+    for n in own.tolist():
+        x, y = _cored(lines[i[n]], lines[j[n]])
+        a.append(x)
+        b.append(y)
+    short, long = (np.array([len(x) for x in y], np.int64) for y in (a, b))
+    out[own] = np.where(short > 0, most[own] + 1, long)
+    near = long - short <= most[own]
+    left = np.flatnonzero((short > 0) & near)
+    left = left[np.argsort(-(long[left] + (short[left] - 1) // 64), kind="stable")]
+    while len(left):
+        # As many pairs as one table holds, of lengths that do not differ much.
+        size = long[left]
+        n = min(int(np.searchsorted(-size, -(size[0] // 2), side="right")), max(1, TABLE_BYTES // int((size[0] // 64 + 1) * 8 * 64)))
+        some, left = left[:n], left[n:]
+        out[own[some]] = _aligned([a[k] for k in some.tolist()], [b[k] for k in some.tolist()], int(most[own[some]].max()))
+    return out
+
+
+def _cored(a: str, b: str) -> tuple[str, str]:
+    """Both strings without the beginning and the end that they share, which changes no edit distance; ``a`` is not longer."""
+
+    def shared(x: str, y: str) -> int:
+        low, high = 0, len(x)
+        while low < high:
+            middle = (low + high + 1) // 2
+            if x[low:middle] == y[low:middle]:
+                low = middle
+            else:
+                high = middle - 1
+        return low
+
+    n = shared(a, b)
+    a, b = a[n:], b[n:]
+    n = shared(a[::-1], b[::-1])
+    return a[: len(a) - n], b[: len(b) - n]
+
+
+def _aligned(a: list[str], b: list[str], most: int) -> np.ndarray:
+    """Levenshtein distances of pairs in bit-parallel columns (Hyyro 2003). Word w of a column is a step behind word w - 1,
+    so all words of all pairs advance at a time, as far as they hold cells within ``most`` of the diagonal; pairs come by
+    the step at which they end, the last one first. Distances over ``most`` may come back too large."""
+    n = len(a)
+    la, lb = (np.array([len(x) for x in y], np.int64) for y in (a, b))
+    words, height = int((la.max() - 1) // 64 + 1), int(lb.max())
+    chars = np.frombuffer("".join([*a, *b]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    alphabet, codes = np.unique(chars, return_inverse=True)
+    if n > 1 and n * words * (len(alphabet) + 1) * 8 > 2 * TABLE_BYTES:
+        return np.concatenate([_aligned(a[: n // 2], b[: n // 2], most), _aligned(a[n // 2 :], b[n // 2 :], most)])
+    none, split = len(alphabet), int(la.sum())
+    match = np.zeros((words * n, none + 1), _U)
+    pair, place = np.repeat(np.arange(n), la), ragged(np.zeros(n, np.int64), la)
+    cell = ((place >> 6) * n + pair) * (none + 1) + codes[:split]
+    order = np.argsort(cell, kind="stable")
+    cell, bits = cell[order], (_U(1) << (place & 63).astype(_U))[order]
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    match = match.reshape(-1)
+    match[cell[starts]] = np.bitwise_or.reduceat(bits, starts)
+    # Characters of b, a row for each step; none before the first and after the last.
+    text = np.full((height + 2 * words, n), none, np.int64)
+    text[words + ragged(np.zeros(n, np.int64), lb), np.repeat(np.arange(n), lb)] = codes[split:]
+    base = np.arange(words * n, dtype=np.int64).reshape(words, n) * (none + 1)
+    last = (la - 1) >> 6
+    ends = lb + last  # the step after which the last word of a pair has seen all of b
+    out = np.empty(n, np.int64)
+    plus, minus = np.full((words, n), ~_U(0)), np.zeros((words, n), _U)
+    into_plus, into_minus = np.zeros((words + 1, n), _U), np.zeros((words + 1, n), _U)
+    score = np.repeat(64 * np.arange(1, words + 1), n).reshape(words, n)
+    beyond = np.where(la & 63, ~_U(0) << (la & 63).astype(_U), _U(0))
+    one, top = _U(1), _U(63)
+    live, columns, tall, seen = n, np.arange(n), words, min(words, most // 65 + 1)
+    for step in range(int(ends.max())):
+        low, high = max(0, (step - 64 - most) // 65), min(tall, (step + most) // 65 + 1)
+        if high > seen:  # a word begins with the distance of the last row above, a column before
+            score[seen] = score[seen - 1] - into_plus[seen].view(np.int64) + into_minus[seen].view(np.int64) + 64
+            seen = high
+        into_plus[low], into_minus[low] = one, 0
+        eq = match.take(base[low:high] + text[step + words - low : step + words - high : -1])
+        own_plus, own_minus, in_plus, in_minus = plus[low:high], minus[low:high], into_plus[low:high], into_minus[low:high]
+        either = eq | own_minus
+        eq |= in_minus
+        zero = eq & own_plus
+        zero += own_plus
+        zero ^= own_plus
+        zero |= eq
+        up = zero | own_plus
+        np.invert(up, out=up)
+        up |= own_minus
+        down = own_plus & zero
+        out_plus, out_minus = up >> top, down >> top
+        up <<= one
+        up |= in_plus
+        down <<= one
+        down |= in_minus
+        np.bitwise_or(either, up, out=own_plus)
+        np.invert(own_plus, out=own_plus)
+        own_plus |= down
+        np.bitwise_and(up, either, out=own_minus)
+        own_score = score[low:high]
+        own_score += out_plus.view(np.int64)
+        own_score -= out_minus.view(np.int64)
+        into_plus[low + 1 : high + 1], into_minus[low + 1 : high + 1] = out_plus, out_minus
+        left = int(np.searchsorted(-ends, -(step + 1), side="left"))
+        if left < live:
+            at = last[left:live], columns[left:live]
+            over = beyond[left:live]
+            out[left:live] = score[at] - np.bitwise_count(plus[at] & over) + np.bitwise_count(minus[at] & over).astype(np.int64)
+            if not left:
+                break
+            live, tall = left, int(last[:left].max()) + 1
+            plus, minus, score, base = (np.ascontiguousarray(x[:tall, :left]) for x in (plus, minus, score, base))
+            into_plus, into_minus = (np.ascontiguousarray(x[: tall + 1, :left]) for x in (into_plus, into_minus))
+            text, seen = text[:, :left], min(seen, tall)
+    return out
+
+
+def similar_pairs(lines: list[str], i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """``similar`` for each pair of ``lines``."""
+    out = distance_bounds(lines, i, j, least)
+    unsure = _not_resynced(lines, i, j, np.flatnonzero(out), least)
+    out[unsure] = _within(lines, i[unsure], j[unsure], least)
+    return out
+
+
+def _not_resynced(lines: list[str], i: np.ndarray, j: np.ndarray, some: np.ndarray, least: float) -> np.ndarray:
+    """Those of the pairs ``some`` that a cheap script of replaced words does not prove to be similar."""
+    words = {k: lines[k].split(" ") for k in np.unique(np.concatenate([i[some], j[some]])).tolist()}
+    size = {k: len(lines[k]) for k in words}
+    pairs = zip(some.tolist(), i[some].tolist(), j[some].tolist())
+    return np.array([n for n, x, y in pairs if not _resynced(words[x], words[y], int((1 - least) * max(size[x], size[y]) + 1e-9))], np.int64)
+
+
+def _within(lines: list[str], i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether the edit distance of each pair allows a similarity of ``least``."""
+    size = np.array([len(x) for x in lines], np.int64)
+    most = ((1 - least) * np.maximum(size[i], size[j]) + 1e-9).astype(np.int64)
+    return edit_distances(lines, i, j, most) <= most
+
+
 # -- the steps ---------------------------------------------------------------
 
 
 def _occurrences(docs: DataFrame, least_words: int, min_words: int, wide: bool) -> DataFrame:
-    """(d, th, no, lk, lid) of each line with ``least_words`` words; with (size, few, s1, s2, keys) at a line's first place in a step."""
+    """(d, th, no, lk, lid) of each line with ``least_words`` words; with its keys at a line's first place in a step."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -452,7 +662,7 @@ def _occurrences(docs: DataFrame, least_words: int, min_words: int, wide: bool)
                 code, distinct = coded.indices.to_numpy(), coded.dictionary
                 digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct.cast(pa.binary()).to_pylist())), np.uint8).reshape(-1, 16)
                 lk, lid = digests[code], digests[:, :8].copy().view(np.int64).reshape(-1)[code]
-                few, offsets, keys, sketch = _line_keys(distinct, min_words, wide)
+                offsets, keys = _line_keys(distinct, min_words, wide)
                 first = np.zeros(len(code), bool)
                 first[np.unique(code, return_index=True)[1]] = True
                 first &= np.diff(offsets)[code] > 0
@@ -460,26 +670,23 @@ def _occurrences(docs: DataFrame, least_words: int, min_words: int, wide: bool)
                 packed = _low_bytes(keys[ragged(offsets[:-1][code], size)] >> _U(64 - KEY_BITS), KEY_BITS // 8)
                 lists = _binary(KEY_BITS // 8 * np.concatenate([[0], np.cumsum(size)]), packed)
                 binary = _binary(16 * np.arange(len(code) + 1), lk)
-                at = pa.array(code, mask=~first)
-                attributes = [pc.utf8_length(distinct).cast(pa.int64()).take(at), pa.array(few).take(at), *(pa.array(sketch[:, k].view(np.int64)).take(at) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays([part.column("d").take(doc), part.column("th").take(doc), pa.array(no.astype(np.int32)), binary, pa.array(lid), *attributes, lists], ["d", "th", "no", "lk", "lid", "size", "few", "s1", "s2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("d").take(doc), part.column("th").take(doc), pa.array(no.astype(np.int32)), binary, pa.array(lid), lists], ["d", "th", "no", "lk", "lid", "keys"])
 
-    return docs.select("d", "th", F.coalesce("t", F.lit("")).alias("t")).mapInArrow(of, "d long, th long, no int, lk binary, lid long, size long, few boolean, s1 long, s2 long, keys binary")
+    return docs.select("d", "th", F.coalesce("t", F.lit("")).alias("t")).mapInArrow(of, "d long, th long, no int, lk binary, lid long, keys binary")
 
 
-def _line_keys(lines: pa.Array, min_words: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Which lines have few words; the keys of each line, one after another, and their bounds (lines of too few words have none); sketches."""
+def _line_keys(lines: pa.Array, min_words: int, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The bounds of each line's keys (lines of too few words have none), and the keys, one after another."""
     words = pc.add(pc.count_substring(lines, " "), 1).to_numpy()
     chosen = np.flatnonzero(words >= min_words)
-    sketch = np.zeros((len(lines), 2), _U)
-    number, keys, sketch[chosen] = block_keys(lines.take(pa.array(chosen)), min_words)
+    number, keys = _only_keys(lines.take(pa.array(chosen)), min_words)
     number = chosen[number]
     if wide:
         own = np.flatnonzero((words >= min_words) & (words < BAND_WORDS))
         number = np.concatenate([number, np.repeat(own, BANDS)])
         keys = np.concatenate([keys, band_keys(lines.take(pa.array(own)).cast(pa.binary()).to_pylist()).reshape(-1)])
     order = np.argsort(number, kind="stable")
-    return words < BAND_WORDS, np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(lines)))]), keys[order], sketch
+    return np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(lines)))]), keys[order]
 
 
 def _low_bytes(values: np.ndarray, width: int) -> np.ndarray:
@@ -654,8 +861,9 @@ def _filter(lids: DataFrame) -> tuple[list[bytes], int]:
 
 
 def _texts(lids: DataFrame, docs: DataFrame, least_words: int) -> DataFrame:
-    """(lid, line) of each of ``lids`` (lid), and of some other lines. Documents are read again where they lie:
-    a filter of the wanted lines goes to them, and lines alone are moved."""
+    """(lid, size, few, s1, s2, line) of each of ``lids`` (lid), and of some other lines. Documents are read again where
+    they lie: a filter of the wanted lines goes to them, and lines alone are moved. Most lines are in no list and have
+    no sketch made."""
     segments, bits = _filter(lids)
     sent = docs.sparkSession.sparkContext.broadcast((segments, bits))
 
@@ -671,9 +879,13 @@ def _texts(lids: DataFrame, docs: DataFrame, least_words: int) -> DataFrame:
                 own, places = _places(lid, len(segments), bits)
                 at = own * bits + places
                 wanted = np.flatnonzero((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=0))
-                yield pa.RecordBatch.from_arrays([pa.array(lid[wanted]), lines.take(pa.array(wanted))], ["lid", "line"])
+                lines = lines.take(pa.array(wanted))
+                sketch = line_sketches(lines, least_words).view(np.int64)
+                few = pc.less(pc.add(pc.count_substring(lines, " "), 1), BAND_WORDS)
+                size = pc.utf8_length(lines).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(lid[wanted]), size, few, pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy()), lines], [*_LINE, "line"])
 
-    texts = docs.select(F.coalesce("t", F.lit("")).alias("t")).mapInArrow(of, "lid long, line string")
+    texts = docs.select(F.coalesce("t", F.lit("")).alias("t")).mapInArrow(of, "lid long, size long, few boolean, s1 long, s2 long, line string")
     return staged(texts.dropDuplicates(["lid"]), "line-texts")
 
 
@@ -721,20 +933,33 @@ def _walk(similarity: float):
         def linked(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
             i, j = (np.concatenate(x) for x in zip(*held))
             used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-            hold = distance_bounds([line[k] for k in used.tolist()], place[: len(i)], place[len(i) :], similarity)
-            good = []
-            for n in np.flatnonzero(hold).tolist():
-                x, y = find(int(cell[i[n]])), find(int(cell[j[n]]))
-                if x != y and similar(line[i[n]], line[j[n]], similarity):
-                    up[max(x, y)] = min(x, y)
-                    good.append(n)
+            lines, a, b = [line[k] for k in used.tolist()], place[: len(i)], place[len(i) :]
+            hold = np.flatnonzero(distance_bounds(lines, a, b, similarity))
+            good: list[int] = []
+
+            def apart(pairs: np.ndarray) -> np.ndarray:
+                return np.array([n for n, x, y in zip(pairs.tolist(), cell[i[pairs]].tolist(), cell[j[pairs]].tolist()) if find(x) != find(y)], np.int64)
+
+            def link(pairs: np.ndarray) -> None:
+                for n, x, y in zip(pairs.tolist(), cell[i[pairs]].tolist(), cell[j[pairs]].tolist()):
+                    if (x := find(x)) != (y := find(y)):
+                        up[max(x, y)] = min(x, y)
+                        good.append(n)
+
+            # Some pairs at a time, because others need no comparison once these are linked.
+            for at in range(0, len(hold), LINKED):
+                some = apart(hold[at : at + LINKED])
+                unsure = _not_resynced(lines, a, b, some, similarity)
+                link(np.setdiff1d(some, unsure))
+                unsure = apart(unsure)
+                link(unsure[_within(lines, a[unsure], b[unsure], similarity)])
             return lid[i[good]], lid[j[good]]
 
         held, n = [], 0
         for i, j in candidates(task, side, part, _attributes(size, few, s1, s2)):
             held.append((i, j))
             n += len(i)
-            if n >= 4 * PAIRS:
+            if n >= 32 * PAIRS:
                 yield linked(held)
                 held, n = [], 0
         if n:
@@ -763,7 +988,7 @@ def _rest(members: DataFrame, keys: DataFrame, long: DataFrame, roots: DataFrame
     outer = rows.where("out").select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j")).select(task(chunk(F.col("outs")), F.col("j").cast("long")), F.lit(1).alias("side"), *_LINE, "part")
     inner = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i")).select(task(F.col("i").cast("long"), chunk(F.col("chunks"))), F.lit(0).alias("side"), *_LINE, "part")
     rows = staged(short.unionAll(outer).unionAll(inner), "line-tasks")
-    rows = rows.join(texts.hint("merge"), "lid").select("task", "side", "part", *_LINE, "line").repartition("task").sortWithinPartitions("task")
+    rows = rows.join(texts.select("lid", "line").hint("merge"), "lid").select("task", "side", "part", *_LINE, "line").repartition("task").sortWithinPartitions("task")
     return by_lists(rows, _walk(similarity))
 
 
@@ -773,9 +998,10 @@ _LINE = ("lid", "size", "few", "s1", "s2")
 def _links(found: DataFrame, docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """(node, root) for each line that is linked to another."""
     members = staged(_members(found), "line-lists")
+    # All lines of lists at once: documents are read again a single time.
+    texts = _texts(staged(members.select("lid").distinct(), "line-ids"), docs, min_words)
+    lines = texts.select(*_LINE)
     # Sides that grow with the corpus are merged at any size, so that what a small input moves tells what a large one will.
-    lines = members.select("lid").distinct().join(found.where("size is not null").select(*_LINE).hint("merge"), "lid").dropDuplicates(["lid"])
-    lines = staged(lines, "line-sketches")
     members = staged(members.join(lines.hint("merge"), "lid").select("key", *_LINE), "line-members")
     long = members.groupBy("key").agg(F.count("*").alias("n"), F.min("lid").alias("lead")).where(F.col("n") > CHUNK)
     long = staged(long.join(lines.select(*(F.col(c).alias(f"l_{c}") for c in _LINE)), F.col("lead") == F.col("l_lid")).drop("n", "l_lid"), "long-lists")
@@ -788,19 +1014,26 @@ def _links(found: DataFrame, docs: DataFrame, min_words: int, similarity: float)
     stars = members.join(small, "key").where("lid <> lead").where(bits).select(F.col("lid").alias("a"), F.col("lead").alias("b"), F.lit(None).cast("long").alias("key"))
     forest = staged(forest.unionAll(stars), "line-forest")
     pairs = staged(forest.select("a", "b").distinct(), "line-pairs")
-    # All lines of lists at once: documents are read again a single time.
-    texts = _texts(lines.select("lid"), docs, min_words)
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")).hint("merge"), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")).hint("merge"), "b")
 
-    @F.pandas_udf("boolean")
-    def close(x: pd.Series, y: pd.Series) -> pd.Series:
-        n, lines = len(x), [*x, *y]
-        out = distance_bounds(lines, np.arange(n), np.arange(n, 2 * n), similarity)
-        for k in np.flatnonzero(out).tolist():
-            out[k] = similar(lines[k], lines[n + k], similarity)
-        return pd.Series(out)
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            a, b, x, y = (pa.concat_arrays([part.column(k) for part in held]) for k in range(4))
+            lines = [*x.to_pylist(), *y.to_pylist()]
+            ok = similar_pairs(lines, np.arange(len(x)), np.arange(len(x), 2 * len(x)), similarity)
+            return pa.RecordBatch.from_arrays([a, b, pa.array(ok)], ["a", "b", "ok"])
 
-    checked = staged(both.select("a", "b", close("x", "y").alias("ok")), "line-edges")
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= PAIR_BYTES:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    checked = staged(both.select("a", "b", "x", "y").mapInArrow(close, "a long, b long, ok boolean"), "line-edges")
     good = checked.where("ok").select("a", "b")
     roots = connected_components(good, "line-groups")
     failed = checked.where("not ok").select("a", "b")
@@ -808,7 +1041,21 @@ def _links(found: DataFrame, docs: DataFrame, min_words: int, similarity: float)
         return roots
     keys = forest.where("key is not null").join(failed, ["a", "b"]).select("key").distinct()
     more = staged(_rest(members, keys, long.select("key", "lead"), roots, texts, similarity), "line-more")
-    return roots if more.isEmpty() else connected_components(good.unionAll(more), "line-groups")
+    return roots if more.isEmpty() else _merged(roots, more)
+
+
+def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) of the graph that gave ``roots`` with the links (a, b) of ``more``: the roots alone are linked anew."""
+    known = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}")).hint("merge")
+    ends = more.join(known("a"), "a", "left").join(known("b"), "b", "left")
+    ends = ends.select("a", "b", F.coalesce("r_a", "a").alias("ra"), F.coalesce("r_b", "b").alias("rb"))
+    ends = staged(ends, "line-ends")
+    parts = connected_components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "line-groups")
+    # Ends without a link before are parts of their own.
+    alone = ends.select(F.col("ra").alias("node")).unionAll(ends.select("rb")).distinct().select("node", F.col("node").alias("root"))
+    every = roots.unionAll(alone).dropDuplicates(["node"])
+    parts = parts.select(F.col("node").alias("old"), F.col("root").alias("new")).hint("merge")
+    return staged(every.join(parts, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")), "line-groups")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, wide: bool = False, short: bool = False) -> DataFrame:
@@ -851,6 +1098,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines_ = F.split(body, "\n")
     left = F.filter(lines_, lambda _, n: ~F.array_contains("__gone", n))
     slim = F.when(F.col("__gone").isNull(), body).otherwise(F.array_join(left, "\n"))
-    n_lines = F.when(body.isNull(), 0).otherwise(F.size(lines_)).cast("long")
+    # Only documents that lose lines are split.
+    n_lines = F.when(body.isNull(), 0).otherwise(F.octet_length(body) - F.octet_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long")
     n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
     return rows.select(*((slim if c == text_col else F.col(i)).alias(c) for c, i in zip(names, inner)), n_lines.alias("n_lines"), n_removed.alias("n_removed"))

@@ -133,7 +133,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), wide=True, short=True)
-    return slim.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+    return slim.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
