@@ -90,3 +90,17 @@ def test_pieces_in_use_stay_when_others_fill_the_memory(ranks, library, monkeypa
         again += (model.joins > before) * (n > 0)
     assert again == 0
     assert max(map(len, (model.pairs, model.windows, model.pieces, model.older))) <= 40
+
+
+def test_a_worker_encodes_parts_once_for_all_its_tasks(library, monkeypatch):
+    with open(PATH, "rb") as f:
+        lines = f.read()
+    texts = ["Plain words, and others too", "", " and words", "漢 and\nothers", "two  spaces"] * 3
+    monkeypatch.setattr(byte_bpe, "_models", {})
+    asked, plain = [], byte_bpe.ByteBpe.encode
+    monkeypatch.setattr(byte_bpe.ByteBpe, "encode", lambda self, text: asked.append(text) or plain(self, text))
+    for task in range(3):
+        ids = list(byte_bpe._batch_ids(pa.array(texts), *byte_bpe._model(lines, P.PATTERN)))
+        assert [x.tolist() for x in ids] == [library.encode_ordinary(t) for t in texts]
+        parts = [x for x in asked if x != "two  spaces"]  # cutting there might change matches, so this text goes whole
+        assert len(parts) == len(set(parts))

@@ -25,13 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import PartCache, encode_texts
+from .pieces import ColumnCache, encode_texts
 from .shared import steps
 
 #: Encodings of pieces and windows up to this length are remembered, and so many of each kind at most.
 MEMO_BYTES, MEMO = 24, 120_000
 #: Halves of a piece up to this length are.
 HALF_BYTES = 8
+#: Parts between spaces whose ids a worker keeps.
+PARTS = 400_000
 #: A space that follows other white space; cutting there could change how the pattern matches.
 _UNSAFE = regex.compile(r"[\s\x1c-\x1f\x85] ")
 
@@ -190,6 +192,15 @@ class ByteBpe:
                 out += get(data) or self._whole(data)
         return out
 
+    def runs(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all parts, and where each part's begin and how many they are."""
+        flat, ends = array("I"), array("q")
+        for part in parts.to_pylist():
+            flat.extend(self.encode(part))
+            ends.append(len(flat))
+        bounds = np.concatenate([np.zeros(1, np.int64), np.frombuffer(ends, np.int64)])
+        return np.frombuffer(flat, np.uint32), bounds[:-1], np.diff(bounds)
+
     def decode(self, ids: list[int]) -> bytes:
         """Concatenate level by level up the tree."""
         level = list(map(self.bytes_of.__getitem__, ids))
@@ -203,20 +214,20 @@ def load_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}
 
 
-_models: dict[tuple, ByteBpe] = {}
+_models: dict[tuple, tuple[ByteBpe, ColumnCache]] = {}
 
 
-def _model(lines: bytes, pattern: str) -> tuple[ByteBpe, PartCache]:
-    """The worker's encoder, with a cache for one task."""
+def _model(lines: bytes, pattern: str) -> tuple[ByteBpe, ColumnCache]:
+    """The worker's encoder and its cache, which stay for the tasks to come."""
     key = (binascii.crc32(lines), len(lines), pattern)
     if key not in _models:
         _models.clear()
-        _models[key] = ByteBpe(load_ranks(lines), pattern)
-    model = _models[key]
-    return model, PartCache(lambda parts: [array("I", model.encode(p)).tobytes() for p in parts])
+        model = ByteBpe(load_ranks(lines), pattern)
+        _models[key] = model, ColumnCache(model.runs, PARTS)
+    return _models[key]
 
 
-def _batch_ids(texts: pa.Array, model: ByteBpe, cache: PartCache) -> Iterator[np.ndarray]:
+def _batch_ids(texts: pa.Array, model: ByteBpe, cache: ColumnCache) -> Iterator[np.ndarray]:
     """Ids of each text. A text is cut at spaces where the pattern cuts as well, which holds
     wherever no white space stands before a space; other texts are matched whole."""
     values = texts.to_pylist()

@@ -109,7 +109,6 @@ def encode_texts(texts: pa.Array, cache: PartCache | ColumnCache, leading_space:
     bounds = bounds - bounds[0]
     codes, distinct = parts.indices.to_numpy().astype(np.int64), parts.dictionary
     if leading_space:
-        distinct = distinct.to_pylist()
         n = len(distinct)
         codes += n
         firsts = bounds[:-1][bounds[1:] > bounds[:-1]]
@@ -118,7 +117,8 @@ def encode_texts(texts: pa.Array, cache: PartCache | ColumnCache, leading_space:
         used[codes] = True
         place = np.cumsum(used) - 1
         codes = place[codes]
-        distinct = [distinct[k] for k in np.flatnonzero(used[:n])] + [" " + distinct[k] for k in np.flatnonzero(used[n:])]
+        spaced = pc.binary_join_element_wise("", distinct.take(pa.array(np.flatnonzero(used[n:]))), " ")
+        distinct = pa.concat_arrays([distinct.take(pa.array(np.flatnonzero(used[:n]))), spaced])
     flat, starts, lengths = cache.runs(distinct)
     each = lengths[codes]
     ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])
