@@ -33,7 +33,7 @@ MEMO_BYTES, MEMO = 24, 120_000
 #: Halves of a piece up to this length are.
 HALF_BYTES = 8
 #: Parts between spaces whose ids a worker keeps.
-PARTS = 400_000
+PARTS = 150_000
 #: A space that follows other white space; cutting there could change how the pattern matches.
 _UNSAFE = regex.compile(r"[\s\x1c-\x1f\x85] ")
 
